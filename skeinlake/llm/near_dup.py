@@ -26,8 +26,9 @@ SEGMENTS = 8
 REACH = 8  # words on either side of the run
 SKETCH = 128
 RUN = 3
+SMALL = 1_000_000  # rows of 16 bytes that may be broadcast
 NONE = np.uint64(2**64 - 1)
-FEATURES = "id long, h1 long, h2 long, n int, s1 long, s2 long, keys array<long>"
+FEATURES = "id long, h1 long, h2 long, s1 long, s2 long, keys array<long>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -117,7 +118,7 @@ def _features(min_words: int):
             valid = np.arange(keys.shape[2]) < count[..., None]
             yield pd.DataFrame({
                 "id": ids, "h1": np.array([f >> 64 for f in full], np.uint64).view(np.int64), "h2": np.array([f & (2**64 - 1) for f in full], np.uint64).view(np.int64),
-                "n": ln.astype(np.int32), "s1": s1.view(np.int64), "s2": s2.view(np.int64), "keys": [k[v] for k, v in zip(keys, valid, strict=True)],
+                "s1": s1.view(np.int64), "s2": s2.view(np.int64), "keys": [k[v] for k, v in zip(keys, valid, strict=True)],
             })
 
     return run
@@ -136,44 +137,51 @@ def _jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def candidate_pairs(reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: representatives that share a key and whose sketches allow ``threshold``."""
-    rows = reps.select("id", "n", "s1", "s2", F.explode("keys").alias("key"))
+def candidate_pairs(docs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: rows of (id, s1, s2, keys) that share a key and whose sketches allow ``threshold``."""
+    rows = docs.select("id", "s1", "s2", F.explode("keys").alias("key"))
     x, y = rows.alias("x"), rows.alias("y")
     agree = SKETCH - F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) - F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
     return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (agree >= agreement_floor(threshold))).select(
         F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint when a count finds at most ``rows`` rows in it; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def near_duplicate_pairs(pages: DataFrame, threshold: float = 0.5, min_words: int = 80, id_column: str = "page_id", text_column: str = "text") -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b, of texts with at least ``min_words`` words and a Jaccard
     similarity of ``threshold`` or more over sets of three consecutive words.
 
     Null, empty and shorter texts are in no pair; rows with a null id are left out. Texts with the
-    same words are one representative until the end, so copies meet only in the result. A repeated
-    id counts once if its text is the same.
+    same words are one representative until the end, so copies meet only in the result. Rows that
+    repeat an id count once.
     """
     docs = pages.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     feats = cut_lineage(docs.where(F.length("text") >= 2 * min_words - 1).mapInPandas(_features(min_words), FEATURES))
-    reps = feats.groupBy("h1", "h2").agg(F.min_by(F.struct("id", "n", "s1", "s2", "keys"), "id").alias("r"), F.count_distinct("id").alias("copies"))
-    reps = reps.select("h1", "h2", "copies", "r.*")
-    near = candidate_pairs(reps, threshold)
-    texts = docs.dropDuplicates(["id"])
+    groups = feats.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+    copies = cut_lineage(feats.select("h1", "h2", "id").join(groups, ["h1", "h2"]).where(F.col("id") != F.col("rep")).select("rep", "id").distinct())
+    near = cut_lineage(candidate_pairs(feats.join(if_small(copies.select("id"), SMALL), "id", "left_anti"), threshold))
+    ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+    texts = docs.join(if_small(ids, SMALL), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     jaccard = F.pandas_udf(lambda a, b: pd.Series([_jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
     sure = (
         near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", jaccard("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold)
     )
-    copied = reps.where(F.col("copies") > 1).select("h1", "h2", F.col("id").alias("rep"))
-    members = feats.select("h1", "h2", "id").distinct().join(copied, ["h1", "h2"]).select("rep", "id")
-    other = members.where(F.col("rep") != F.col("id"))
-    same = members.alias("x").join(members.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id"))).select(
-        F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), F.lit(1.0).alias("similarity"))
+    if copies.isEmpty():
+        return sure.toDF("id_a", "id_b", "similarity")
+    sure = cut_lineage(sure)
 
     def spread(df: DataFrame, side: str) -> DataFrame:
-        more = df.join(other.select(F.col("rep").alias(side), F.col("id").alias("__id")), side).drop(side).withColumnRenamed("__id", side)
+        more = df.join(copies.select(F.col("rep").alias(side), F.col("id").alias("__id")), side).drop(side).withColumnRenamed("__id", side)
         return df.unionByName(more)
 
+    members = copies.unionByName(copies.select("rep", F.col("rep").alias("id")).distinct())
+    same = members.alias("x").join(members.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id"))).select(
+        F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), F.lit(1.0).alias("similarity"))
     wide = spread(spread(sure, "a"), "b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity")
     return wide.unionByName(same)
