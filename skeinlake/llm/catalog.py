@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skeinlake.llm.garble import garbled_fields
 from skeinlake.llm.near_dup import near_duplicate_pairs
 from skeinlake.session import table
 
@@ -12,6 +14,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, d, "wacz_pages")).toDF("page_id_a", "page_id_b", "similarity").select("page_id_a", "page_id_b")
 
 
-QUERIES = {"p1_found": p1_found}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_fields(table(spark, d, "wacz_pages")).select(F.col("id").alias("page_id"), "field").distinct()
+
+
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_fields(table(spark, d, "wacz_pages")).withColumnRenamed("id", "page_id")
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_restored": p5_restored}
 
 SQL: dict[str, str] = {}
