@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinlake.llm.golay import BITS, fuzzy_keys
@@ -28,7 +28,7 @@ SKETCH = 128
 RUN = 3
 SMALL = 1_000_000  # rows of 16 bytes that may be broadcast
 NONE = np.uint64(2**64 - 1)
-FEATURES = "id long, h1 long, h2 long, s1 long, s2 long, keys array<long>"
+FEATURES = "id long, h1 long, h2 long, s1 long, s2 long, keys array<long>, nibbles array<long>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -44,8 +44,8 @@ def _salt(i: int) -> np.uint64:
     return np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)
 
 
-def fingerprints(word_hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, segments: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(runs of each segment, 23-bit words, two sketch halves) of texts laid end to end, each of ``RUN`` words or more."""
+def fingerprints(word_hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, segments: int = SEGMENTS) -> tuple[np.ndarray, ...]:
+    """(runs of each segment, 23-bit words, two sketch halves, four more bits of each minimum) of texts laid end to end, each of ``RUN`` words or more."""
     n = len(word_hashes)
     ends = starts + lengths
     with np.errstate(over="ignore"):
@@ -72,17 +72,19 @@ def fingerprints(word_hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarra
                     votes[:, b] += np.where(ok, ((h >> np.uint64(b)) & np.uint64(1)).astype(np.int32) * 2 - 1, 0)
             runs[:, i] = least
             words[:, i] = ((votes > 0).astype(np.int64) << np.arange(BITS)).sum(1)
-        # one-bit minima: for each of 128 bins the least run whose hash falls into it would leave bins
-        # empty in short texts, so every bin takes its own minimum over a cheap multiply-shift hash
+        # SKETCH minima, each under its own multiply-shift hash: one bit of each for the join, four for the test after it
         halves = np.zeros((2, len(starts)), np.uint64)
+        nibbles = np.zeros((len(starts), SKETCH // 16), np.uint64)
         base = np.where(outside, np.uint64(0), run | np.uint64(1))
         for j in range(SKETCH):
             v = base * (_salt(1000 + j) | np.uint64(1))
             v ^= v >> np.uint64(29)
             v[outside] = NONE
             least = np.minimum.reduceat(v, starts)
-            halves[j // 64] |= (_mix(least) & np.uint64(1)) << np.uint64(j % 64)
-    return runs, words, halves[0], halves[1]
+            least = _mix(least)
+            halves[j // 64] |= (least & np.uint64(1)) << np.uint64(j % 64)
+            nibbles[:, j // 16] |= ((least >> np.uint64(8)) & np.uint64(15)) << np.uint64(j % 16 * 4)
+    return runs, words, halves[0], halves[1], nibbles
 
 
 def _features(min_words: int):
@@ -110,7 +112,7 @@ def _features(min_words: int):
                 continue
             ln = np.array(lengths)
             st = np.concatenate([[0], np.cumsum(ln)[:-1]])
-            runs, words23, s1, s2 = fingerprints(np.array(flat, np.uint64), st, ln)
+            runs, words23, s1, s2, nibbles = fingerprints(np.array(flat, np.uint64), st, ln)
             index, count = fuzzy_keys(words23)
             with np.errstate(over="ignore"):
                 seg = np.array([_salt(i) for i in range(runs.shape[1])], np.uint64)
@@ -118,7 +120,7 @@ def _features(min_words: int):
             valid = np.arange(keys.shape[2]) < count[..., None]
             yield pd.DataFrame({
                 "id": ids, "h1": np.array([f >> 64 for f in full], np.uint64).view(np.int64), "h2": np.array([f & (2**64 - 1) for f in full], np.uint64).view(np.int64),
-                "s1": s1.view(np.int64), "s2": s2.view(np.int64), "keys": [k[v] for k, v in zip(keys, valid, strict=True)],
+                "s1": s1.view(np.int64), "s2": s2.view(np.int64), "keys": [k[v] for k, v in zip(keys, valid, strict=True)], "nibbles": list(nibbles.view(np.int64)),
             })
 
     return run
@@ -137,6 +139,22 @@ def _jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def nibbles_floor(threshold: float, deviations: float = 4.0) -> int:
+    """As agreement_floor, for minima of which four bits are kept."""
+    p = threshold + (1 - threshold) / 16
+    return int(SKETCH * p - deviations * (SKETCH * p * (1 - p)) ** 0.5)
+
+
+def _equal_nibbles(x: str, y: str) -> Column:
+    total = F.lit(SKETCH)
+    for i in range(SKETCH // 16):
+        d = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total - F.bit_count(d)
+    return total
+
+
 def candidate_pairs(docs: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: rows of (id, s1, s2, keys) that share a key and whose sketches allow ``threshold``."""
     rows = docs.select("id", "s1", "s2", F.explode("keys").alias("key"))
@@ -163,7 +181,10 @@ def near_duplicate_pairs(pages: DataFrame, threshold: float = 0.5, min_words: in
     feats = cut_lineage(docs.where(F.length("text") >= 2 * min_words - 1).mapInPandas(_features(min_words), FEATURES))
     groups = feats.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
     copies = cut_lineage(feats.select("h1", "h2", "id").join(groups, ["h1", "h2"]).where(F.col("id") != F.col("rep")).select("rep", "id").distinct())
-    near = cut_lineage(candidate_pairs(feats.join(if_small(copies.select("id"), SMALL), "id", "left_anti"), threshold))
+    near = candidate_pairs(feats.join(if_small(copies.select("id"), SMALL), "id", "left_anti"), threshold)
+    sketches = if_small(feats.select("id", "nibbles"), SMALL // 8)
+    near = near.join(sketches.toDF("a", "na"), "a").join(sketches.toDF("b", "nb"), "b").where(_equal_nibbles("na", "nb") >= nibbles_floor(threshold))
+    near = cut_lineage(near.select("a", "b").distinct())
     ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
     texts = docs.join(if_small(ids, SMALL), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     jaccard = F.pandas_udf(lambda a, b: pd.Series([_jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
