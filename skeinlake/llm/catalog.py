@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinlake.llm.garble import garbled_fields
 from skeinlake.llm.near_dup import near_duplicate_pairs
+from skeinlake.llm.residue import residue_fields
 from skeinlake.session import table
 
 
@@ -22,6 +23,10 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled_fields(table(spark, d, "wacz_pages")).withColumnRenamed("id", "page_id")
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_restored": p5_restored}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue_fields(table(spark, d, "wacz_pages")).select(F.col("id").alias("page_id"), "field").distinct()
+
+
+QUERIES = {"p6_found": p6_found, "p1_found": p1_found, "p5_found": p5_found, "p5_restored": p5_restored}
 
 SQL: dict[str, str] = {}

@@ -277,6 +277,27 @@ def restore_texts(texts: list[str | None], model: PairModel) -> list[tuple[str,
     return out
 
 
+def plain_restore(text: str) -> str | None:
+    """``text`` with every non-ASCII run that is strict UTF-8 under some reading put right, without statistics; None if there is none."""
+    changed = False
+
+    def fix(m: re.Match) -> str:
+        nonlocal changed
+        for e in READINGS[:6]:
+            raw = _as_bytes(m[0], e)
+            if raw and len(raw) > 1:
+                try:
+                    got = raw.decode("utf-8")
+                except UnicodeDecodeError:
+                    continue
+                changed = True
+                return got
+        return m[0]
+
+    out = re.sub(r"[^\x00-\x7f]+", fix, text)
+    return out if changed else None
+
+
 def garbled_fields(pages: DataFrame, fields: tuple[str, ...] = ("title", "text"), id_column: str = "page_id", model: PairModel | None = None) -> DataFrame:
     """(id, field, restored, complete): every garbled field with its original text as far as it can be had.
 
