@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinlake.llm.boilerplate import boilerplate_lines, main_body
 from skeinlake.llm.garble import garbled_fields
 from skeinlake.llm.near_dup import near_duplicate_pairs
 from skeinlake.llm.residue import residue_fields
@@ -27,6 +28,21 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return residue_fields(table(spark, d, "wacz_pages")).select(F.col("id").alias("page_id"), "field").distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p1_found": p1_found, "p5_found": p5_found, "p5_restored": p5_restored}
+def _content_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose text is no case of problem 6."""
+    pages = table(spark, d, "wacz_pages")
+    residue = residue_fields(pages, fields=("text",)).select(F.col("id").alias("page_id")).distinct()
+    return pages.select("page_id", "url", "text").join(residue, "page_id", "left_anti")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate_lines(_content_pages(spark, d)).distinct()
+
+
+def p7_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return main_body(_content_pages(spark, d))
+
+
+QUERIES = {"p7_found": p7_found, "p7_bodies": p7_bodies, "p6_found": p6_found, "p1_found": p1_found, "p5_found": p5_found, "p5_restored": p5_restored}
 
 SQL: dict[str, str] = {}
