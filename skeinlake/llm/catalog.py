@@ -9,6 +9,7 @@ from skeinlake.llm.boilerplate import boilerplate_lines, main_body
 from skeinlake.llm.garble import garbled_fields
 from skeinlake.llm.near_dup import near_duplicate_pairs
 from skeinlake.llm.residue import residue_fields
+from skeinlake.llm.sentences import sentences
 from skeinlake.session import table
 
 
@@ -43,6 +44,10 @@ def p7_bodies(spark: SparkSession, d: str) -> DataFrame:
     return main_body(_content_pages(spark, d))
 
 
-QUERIES = {"p7_found": p7_found, "p7_bodies": p7_bodies, "p6_found": p6_found, "p1_found": p1_found, "p5_found": p5_found, "p5_restored": p5_restored}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences(table(spark, d, "documents").select("doc_id", "text")).distinct()
+
+
+QUERIES = {"p10_found": p10_found, "p7_found": p7_found, "p7_bodies": p7_bodies, "p6_found": p6_found, "p1_found": p1_found, "p5_found": p5_found, "p5_restored": p5_restored}
 
 SQL: dict[str, str] = {}
