@@ -36,8 +36,8 @@ CLOSERS = "”\"»’')]」』）】》›“］"
 STRONG = "。！？｡।॥։።፧፨؟۔။។༎‼⁇⁈"
 SOFT = ".!?…;‥"
 BULLET = re.compile(r"[*•·▪◦‣○●■–—-][ \t ]+|\(?\d{1,3}[.)][ \t ]+(?=\S)|[a-zA-Z][)][ \t ]+")
-CANDIDATE = re.compile(rf"(?:[{STRONG}]|[.!?…‥]+|(?<=[Ͱ-Ͽἀ-῿]);)[{SOFT}{STRONG}]*(?:[   ]?[{re.escape(CLOSERS)}])*")
-THAI_GAP = re.compile(r"(?<=[฀-๿຀-໿က-႟])[  ]+(?=[฀-๏຀-໿က-႟])")
+CANDIDATE = re.compile(rf"(?:[{STRONG}]|[.!?…‥]+|(?<=[Ͱ-Ͽἀ-῿]);)[{SOFT}{STRONG}]*(?:[{re.escape(CLOSERS)}]|[   ][»›])*")
+THAI_GAP = re.compile(r"(?<=[฀-๿຀-໿က-႟])[ \u00a0]+(?=[฀-๏຀-໿က-႟])")
 PAIRS = {"(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "【": "】", "《": "》", "«": "»", "“": "”", "„": "“", "‹": "›", "［": "］", "‚": "‘"}
 SAID = re.compile(r"[^。！？\n“”「」]{0,24}(?:问道|说道|说|写道|答道|回答|喊道|问)[。！？]")
 PARTICLE = "とがをにはのもへでよねか"
