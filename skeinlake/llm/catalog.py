@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from skeinlake.llm.boilerplate import boilerplate_lines, main_body
 from skeinlake.llm.garble import garbled_fields
+from skeinlake.llm.leakage import LEAK, leaks
 from skeinlake.llm.near_dup import near_duplicate_pairs
+from skeinlake.llm.packing import pack
 from skeinlake.llm.residue import residue_fields
 from skeinlake.llm.sentences import sentences
 from skeinlake.session import table
@@ -48,6 +50,22 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents").select("doc_id", "text")).distinct()
 
 
-QUERIES = {"p10_found": p10_found, "p7_found": p7_found, "p7_bodies": p7_bodies, "p6_found": p6_found, "p1_found": p1_found, "p5_found": p5_found, "p5_restored": p5_restored}
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "pack_targets"))
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "text"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where(F.col("run_words") >= LEAK).select("doc_id", "item_id").distinct()
+
+
+def p9_alignments(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
+QUERIES = {"p8_packed": p8_packed, "p9_found": p9_found, "p9_alignments": p9_alignments, "p10_found": p10_found, "p7_found": p7_found, "p7_bodies": p7_bodies, "p6_found": p6_found, "p1_found": p1_found, "p5_found": p5_found, "p5_restored": p5_restored}
 
 SQL: dict[str, str] = {}
