@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from skeinlake.plans import pipeline
+from skeinlake.plans import archive, pipeline
 
 
 def queries() -> dict:
-    return {**pipeline.QUERIES}
+    return {**archive.QUERIES, **pipeline.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**pipeline.SQL}
+    return {**archive.SQL, **pipeline.SQL}
