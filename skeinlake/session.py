@@ -51,3 +51,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def data_root(default: str = "/root/testdata/sf0.1") -> str:
     return os.environ.get("BENCH_SF_DIR", default)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer than half as many partitions.
+
+    For operators that spend long on each row. What moves is less than a core's scan partitions; wider tables stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
