@@ -12,28 +12,36 @@ from skeinlake.llm.near_dup import near_duplicate_pairs
 from skeinlake.llm.packing import pack
 from skeinlake.llm.residue import residue_fields
 from skeinlake.llm.sentences import sentences
-from skeinlake.session import table
+from skeinlake.session import spread, table
+
+
+#: Columns of wacz_pages that the operators read; no others move.
+PAGE = ("page_id", "url", "title", "text")
+
+
+def _wide(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    return spread(table(spark, d, name).select(*columns))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicate_pairs(table(spark, d, "wacz_pages")).toDF("page_id_a", "page_id_b", "similarity").select("page_id_a", "page_id_b")
+    return near_duplicate_pairs(_wide(spark, d, "wacz_pages", *PAGE)).toDF("page_id_a", "page_id_b", "similarity").select("page_id_a", "page_id_b")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return garbled_fields(table(spark, d, "wacz_pages")).select(F.col("id").alias("page_id"), "field").distinct()
+    return garbled_fields(_wide(spark, d, "wacz_pages", *PAGE)).select(F.col("id").alias("page_id"), "field").distinct()
 
 
 def p5_restored(spark: SparkSession, d: str) -> DataFrame:
-    return garbled_fields(table(spark, d, "wacz_pages")).withColumnRenamed("id", "page_id")
+    return garbled_fields(_wide(spark, d, "wacz_pages", *PAGE)).withColumnRenamed("id", "page_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue_fields(table(spark, d, "wacz_pages")).select(F.col("id").alias("page_id"), "field").distinct()
+    return residue_fields(_wide(spark, d, "wacz_pages", *PAGE)).select(F.col("id").alias("page_id"), "field").distinct()
 
 
 def _content_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose text is no case of problem 6."""
-    pages = table(spark, d, "wacz_pages")
+    pages = _wide(spark, d, "wacz_pages", *PAGE)
     residue = residue_fields(pages, fields=("text",)).select(F.col("id").alias("page_id")).distinct()
     return pages.select("page_id", "url", "text").join(residue, "page_id", "left_anti")
 
@@ -47,15 +55,15 @@ def p7_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences(table(spark, d, "documents").select("doc_id", "text")).distinct()
+    return sentences(_wide(spark, d, "documents", "doc_id", "text")).distinct()
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
-    return pack(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "pack_targets"))
+    return pack(_wide(spark, d, "documents", "doc_id", "text"), table(spark, d, "pack_targets"))
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "text"))
+    return leaks(_wide(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items").select("item_id", "text"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
