@@ -295,6 +295,9 @@ def plain_restore(text: str) -> str | None:
         return m[0]
 
     out = re.sub(r"[^\x00-\x7f]+", fix, text)
+    if changed and SUSPECT.search(out):  # decoded wrongly twice
+        changed = False
+        return re.sub(r"[^\x00-\x7f]+", fix, out)
     return out if changed else None
 
 
