@@ -231,9 +231,18 @@ def invert_all(text: str, model: PairModel) -> tuple[str, bool] | None:
     lost = "�" in text
     if not odd.any() and not lost:
         return None
-    out, at, found, whole = [], 0, lost, not lost
     spans = maximum_segments(np.where(odd, 1.0, -0.5)) if odd.any() else []
-    k = 0
+    first = _invert_runs(text, model, spans)
+    if not first[1]:
+        return (text, False) if lost else None
+    # a garbled field is garbled by one mapping: runs without an improbable pair are tried as well
+    again = _invert_runs(text, model, [(0, len(text))])
+    return again[0], again[2] and not lost
+
+
+def _invert_runs(text: str, model: PairModel, spans: list[tuple[int, int]]) -> tuple[str, bool, bool]:
+    """(text with the garbled runs around ``spans`` put right, whether there is any, whether nothing of it is lost)."""
+    out, at, found, whole, k = [], 0, False, True, 0
     for m in RUN.finditer(text):
         while k < len(spans) and spans[k][1] + 1 < m.start():
             k += 1
@@ -249,13 +258,13 @@ def invert_all(text: str, model: PairModel) -> tuple[str, bool] | None:
             parts = [invert(w, model, around[i], around[i + 1]) for i, w in enumerate(words)]
             if any(parts):
                 got = " ".join(p[0] if p else w for p, w in zip(parts, words, strict=True)), all(p is None or p[1] for p in parts)
-        if got is None and sum("\x80" <= c <= "\x9f" for c in run):
+        if got is None and any("\x80" <= c <= "\x9f" for c in run):
             got = run, False
         if got is not None:
             found, whole = True, whole and got[1]
             out += [text[at : m.start()], got[0]]
             at = m.end()
-    return ("".join(out) + text[at:], whole) if found else None
+    return "".join(out) + text[at:], found, whole
 
 
 def restore_texts(texts: list[str | None], model: PairModel) -> list[tuple[str, bool] | None]:
