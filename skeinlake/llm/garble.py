@@ -129,9 +129,15 @@ class PairModel:
         return cls(byte, chars)
 
     def suspicious(self, codes: np.ndarray) -> np.ndarray:
-        """For each adjacent pair with a non-ASCII character: is it unseen in clean text?"""
+        """For each adjacent pair with a non-ASCII character: is it unseen in clean text? Four Cyrillic capitals in a row
+        count too, because lower case turns into them between two Cyrillic encodings."""
         high = codes > 127
-        return (high[:-1] | high[1:]) & (self.odd[_pair_slots(codes)] == UNSEEN)
+        out = (high[:-1] | high[1:]) & (self.odd[_pair_slots(codes)] == UNSEEN)
+        capital = (codes >= 0x410) & (codes <= 0x42F)
+        if len(codes) > 3:
+            four = capital[:-3] & capital[1:-2] & capital[2:-1] & capital[3:]
+            out[: len(four)] |= four
+        return out
 
     def oddness(self, text: str, left: str = " ", right: str = " ") -> float:
         """Mean score of the pairs with a non-ASCII character, UNSEEN for characters that clean text lacks."""
@@ -202,6 +208,8 @@ def _readings_of(run: str) -> Iterator[tuple[str, str]]:
 
 #: How much less odd a mapping's text must be, in eighths of a bit of mutual information a pair.
 MARGIN = 24
+#: The same between Cyrillic encodings, whose letters all stay letters.
+SWAP_MARGIN = 8
 
 
 def invert(run: str, model: PairModel, left: str = " ", right: str = " ", depth: int = 0) -> tuple[str, bool] | None:
@@ -217,7 +225,7 @@ def invert(run: str, model: PairModel, left: str = " ", right: str = " ", depth:
         if kind == "utf8" and depth < 2 and (deeper := invert(text, model, left, right, depth + 1)):
             text, whole = deeper[0], deeper[1] and whole
         odd = model.oddness(text, left, right)
-        if odd <= here - MARGIN and (best is None or odd < best[0]):
+        if odd <= here - (SWAP_MARGIN if kind == "swap" and run[:1] >= "\u0400" else MARGIN) and (best is None or odd < best[0]):
             best = (odd, text, whole)
     return None if best is None else best[1:]
 
