@@ -26,6 +26,7 @@ SEGMENTS = 8
 REACH = 8  # words on either side of the run
 SKETCH = 128
 RUN = 3
+HOT_BUCKET = 1000
 SMALL = 1_000_000  # rows of 16 bytes that may be broadcast
 NONE = np.uint64(2**64 - 1)
 FEATURES = "id long, h1 long, h2 long, s1 long, s2 long, keys array<long>, nibbles array<long>"
@@ -155,20 +156,35 @@ def _equal_nibbles(x: str, y: str) -> Column:
     return total
 
 
-def candidate_pairs(docs: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: rows of (id, s1, s2, keys) that share a key and whose sketches allow ``threshold``."""
-    rows = docs.select("id", "s1", "s2", F.explode("keys").alias("key"))
-    x, y = rows.alias("x"), rows.alias("y")
-    agree = SKETCH - F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) - F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (agree >= agreement_floor(threshold))).select(
-        F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-
-
 def if_small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint when a count finds at most ``rows`` rows in it; else as it is, for a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def candidate_pairs(docs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: rows of (id, s1, s2, keys) that share a key and whose sketches allow ``threshold``.
+
+    No bucket is cut. One with more than HOT_BUCKET rows is split: a row meets the whole bucket in
+    the cell of its own salt, so that a cell has HOT_BUCKET rows on one side.
+    """
+    rows = docs.select("id", "s1", "s2", F.explode("keys").alias("key"))
+    hot = cut_lineage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_BUCKET).select("key", F.ceil(F.col("n") / HOT_BUCKET).cast("int").alias("cells")))
+
+    def meet(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+        x, y = x.alias("x"), y.alias("y")
+        agree = SKETCH - F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) - F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
+        same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in on]
+        return x.join(y, [*same, F.col("x.id") < F.col("y.id"), agree >= agreement_floor(threshold)]).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+    if hot.isEmpty():
+        return meet(rows, rows, ["key"]).distinct()
+    known = if_small(hot, SMALL)
+    cold, warm = rows.join(known, "key", "left_anti"), rows.join(known, "key")
+    left = warm.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
+    right = warm.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    return meet(cold, cold, ["key"]).unionByName(meet(left, right, ["key", "cell"])).distinct()
+
+
 def near_duplicate_pairs(pages: DataFrame, threshold: float = 0.5, min_words: int = 80, id_column: str = "page_id", text_column: str = "text") -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b, of texts with at least ``min_words`` words and a Jaccard
     similarity of ``threshold`` or more over sets of three consecutive words.

@@ -74,6 +74,21 @@ def test_near_duplicates_against_brute_force(spark):
     assert not found - want and len(found & want) >= 0.99 * len(want)
 
 
+def test_hot_buckets_lose_nothing(spark, monkeypatch):
+    from skeinlake.llm import near_dup
+
+    rng = random.Random(11)
+    base = prose(rng, 120).split()
+    rows = []
+    for n in range(60):
+        w = list(base)
+        w[n % 120] = f"own{n}"
+        rows.append((n, "u", None, " ".join(w)))
+    plain = {tuple(r) for r in near_duplicate_pairs(pages_of(spark, rows)).select("id_a", "id_b").collect()}
+    monkeypatch.setattr(near_dup, "HOT_BUCKET", 7)
+    assert {tuple(r) for r in near_duplicate_pairs(pages_of(spark, rows)).select("id_a", "id_b").collect()} == plain and len(plain) == 60 * 59 // 2
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicate_pairs(pages_of(spark, [(1, "u", None, None)]).limit(0)).count() == 0
 
