@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from skeinlake.plans import archive, pipeline
+from skeinlake.plans import archive, physical, pipeline
 
 
 def queries() -> dict:
-    return {**archive.QUERIES, **pipeline.QUERIES}
+    return {**archive.QUERIES, **physical.QUERIES, **pipeline.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
