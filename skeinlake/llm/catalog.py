@@ -28,7 +28,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return garbled_fields(_wide(spark, d, "wacz_pages", *PAGE)).select(F.col("id").alias("page_id"), "field").distinct()
+    return garbled_fields(_wide(spark, d, "wacz_pages", *PAGE), restore=False).select(F.col("id").alias("page_id"), "field").distinct()
 
 
 def p5_restored(spark: SparkSession, d: str) -> DataFrame:

@@ -230,8 +230,11 @@ def invert(run: str, model: PairModel, left: str = " ", right: str = " ", depth:
     return None if best is None else best[1:]
 
 
-def invert_all(text: str, model: PairModel) -> tuple[str, bool] | None:
-    """As invert, for every run inside ``text`` that holds an improbable pair; None where none is garbled."""
+def invert_all(text: str, model: PairModel, restore: bool = True) -> tuple[str, bool] | None:
+    """As invert, for every run inside ``text`` that holds an improbable pair; None where none is garbled.
+
+    Without ``restore`` the first garbled run decides and the text comes back as it is.
+    """
     if text.isascii():
         return None
     codes = _codes(text)
@@ -239,16 +242,20 @@ def invert_all(text: str, model: PairModel) -> tuple[str, bool] | None:
     lost = "�" in text
     if not odd.any() and not lost:
         return None
+    if lost and not restore:
+        return text, False
     spans = maximum_segments(np.where(odd, 1.0, -0.5)) if odd.any() else []
-    first = _invert_runs(text, model, spans)
+    first = _invert_runs(text, model, spans, not restore)
     if not first[1]:
         return (text, False) if lost else None
+    if not restore:
+        return text, False
     # a garbled field is garbled by one mapping: runs without an improbable pair are tried as well
     again = _invert_runs(text, model, [(0, len(text))])
     return again[0], again[2] and not lost
 
 
-def _invert_runs(text: str, model: PairModel, spans: list[tuple[int, int]]) -> tuple[str, bool, bool]:
+def _invert_runs(text: str, model: PairModel, spans: list[tuple[int, int]], first_only: bool = False) -> tuple[str, bool, bool]:
     """(text with the garbled runs around ``spans`` put right, whether there is any, whether nothing of it is lost)."""
     out, at, found, whole, k = [], 0, False, True, 0
     for m in RUN.finditer(text):
@@ -270,12 +277,14 @@ def _invert_runs(text: str, model: PairModel, spans: list[tuple[int, int]]) -> t
             got = run, False
         if got is not None:
             found, whole = True, whole and got[1]
+            if first_only:
+                break
             out += [text[at : m.start()], got[0]]
             at = m.end()
     return "".join(out) + text[at:], found, whole
 
 
-def restore_texts(texts: list[str | None], model: PairModel) -> list[tuple[str, bool] | None]:
+def restore_texts(texts: list[str | None], model: PairModel, restore: bool = True) -> list[tuple[str, bool] | None]:
     """invert_all for many texts; texts without an improbable pair are passed over in one sweep."""
     out: list[tuple[str, bool] | None] = [None] * len(texts)
     rows = [i for i, t in enumerate(texts) if t and not t.isascii()]
@@ -290,7 +299,7 @@ def restore_texts(texts: list[str | None], model: PairModel) -> list[tuple[str,
         hit.add(len(rows) - 1)
     for k in sorted(hit):
         if k < len(rows):
-            out[rows[k]] = invert_all(texts[rows[k]], model)
+            out[rows[k]] = invert_all(texts[rows[k]], model, restore)
     return out
 
 
@@ -318,8 +327,8 @@ def plain_restore(text: str) -> str | None:
     return out if changed else None
 
 
-def garbled_fields(pages: DataFrame, fields: tuple[str, ...] = ("title", "text"), id_column: str = "page_id", model: PairModel | None = None) -> DataFrame:
-    """(id, field, restored, complete): every garbled field with its original text as far as it can be had.
+def garbled_fields(pages: DataFrame, fields: tuple[str, ...] = ("title", "text"), id_column: str = "page_id", model: PairModel | None = None, restore: bool = True) -> DataFrame:
+    """(id, field, restored, complete): every garbled field with its original text as far as it can be had, or null without ``restore``.
 
     ``complete`` is false where bytes are lost; what is lost shows as U+FFFD. Null, empty and
     ASCII fields are no cases. Each row is judged by itself, so repeated rows give repeated cases.
@@ -331,8 +340,8 @@ def garbled_fields(pages: DataFrame, fields: tuple[str, ...] = ("title", "text")
         at = PairModel(*sent.value)
         for pdf in batches:
             for f in fields:
-                got = restore_texts(list(pdf[f]), at)
-                rows = [(i, f, r[0], r[1]) for i, r in zip(pdf["__id"], got, strict=True) if r is not None]
+                got = restore_texts(list(pdf[f]), at, restore)
+                rows = [(i, f, r[0] if restore else None, r[1] if restore else None) for i, r in zip(pdf["__id"], got, strict=True) if r is not None]
                 if rows:
                     yield pd.DataFrame(rows, columns=["id", "field", "restored", "complete"])
 
