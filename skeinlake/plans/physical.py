@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlake.operators.validate import captures_of, validate
+from skeinlake.operators.validate import LAYERS, captures_of, validate
 from skeinlake.session import table
 from skeinlake.sinks.convert import Conversion
 from skeinlake.sinks.package import WriterOptions
@@ -70,8 +70,10 @@ def page_list_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def package_validate(spark: SparkSession, d: str) -> DataFrame:
-    """Findings by layer and code: none for a package just written."""
-    return validate(spark, _package(spark, d, zipnum_lines=256)).groupBy("layer", "code").agg(F.count(F.lit(1)).alias("n"))
+    """Findings of each layer: none for a package just written."""
+    found = validate(spark, _package(spark, d, zipnum_lines=256)).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+    layers = spark.createDataFrame([(x,) for x in LAYERS], "layer string")
+    return layers.join(found, "layer", "left").select("layer", F.coalesce("n", F.lit(0)).alias("findings"))
 
 
 def capture_records(spark: SparkSession, d: str) -> DataFrame:
