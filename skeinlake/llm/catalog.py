@@ -42,7 +42,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def _content_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose text is no case of problem 6."""
     pages = _wide(spark, d, "wacz_pages", *PAGE)
-    residue = residue_fields(pages, fields=("text",)).select(F.col("id").alias("page_id")).distinct()
+    residue = residue_fields(pages.select("page_id", "title", "text")).where(F.col("field") == "text").select(F.col("id").alias("page_id")).distinct()
     return pages.select("page_id", "url", "text").join(residue, "page_id", "left_anti")
 
 
