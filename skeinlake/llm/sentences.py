@@ -28,7 +28,7 @@ ABBREVIATIONS = frozenset(
     "κ κα κος δρ περ π.χ π δηλ σελ αρ κεφ δοկ դոկտ պրոֆ डॉ श्री श्रीमती प्रो د أ م ص ا".split()
 )
 # Abbreviations that may also end one, when a capital follows.
-FINAL = frozenset("etc a.m p.m inc ltd co corp jr sr usw ff u.s uu д.р др г гг т.д т.п п x χ κ.λπ κ.ά i.e".split()) - {"i.e"}
+FINAL = frozenset("etc a.m p.m inc ltd co corp jr usw ff u.s uu д.р др г гг т.д т.п п x χ κ.λπ κ.ά i.e".split()) - {"i.e"}
 # Month names that follow an ordinal day with a stop.
 ORDINAL_NEXT = frozenset("januar februar märz april mai juni juli august september oktober november dezember jänner jahrhundert".split())
 

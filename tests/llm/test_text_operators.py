@@ -252,6 +252,7 @@ def test_alignment_scores():
     ("Heading\n\n- one\n* two\n• three\n\nA line that\nwraps here. Next.", ["Heading", "- one", "* two", "• three", "A line that\nwraps here.", "Next."]),
     ("मिले। कितना नया पत्र!", ["मिले।", "कितना नया पत्र!"]), ("Πού βρίσκεται; Εδώ.", ["Πού βρίσκεται;", "Εδώ."]), ("แฟ้มอยู่ที่ไหน ไม่มีใครย้าย 3 ชิ้น", ["แฟ้มอยู่ที่ไหน", "ไม่มีใครย้าย 3 ชิ้น"]),
     ("В 2021 г. том был издан. «Где том?» — спросил Kalo.Как пишет Rin, нет.", ["В 2021 г. том был издан.", "«Где том?» — спросил Kalo.", "Как пишет Rin, нет."]), ("", []), (" \n\t ", []),
+    ("El Sr. Kalo y la Dra. Rin leen aprox. 9 págs. Nada más.", ["El Sr. Kalo y la Dra. Rin leen aprox. 9 págs. Nada más."]), ("El Sr. Kalo lee. ¿Qué? Nada.", ["El Sr. Kalo lee.", "¿Qué?", "Nada."]),
     ("(The path was closed by Kalo.) It was late.", ["(The path was closed by Kalo.)", "It was late."]), ("أين فهرس؟ قال د. Kalo ذلك.", ["أين فهرس؟", "قال د. Kalo ذلك."]),
 ])
 def test_sentences(text, want):
