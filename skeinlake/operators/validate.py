@@ -222,6 +222,18 @@ def validate(spark: SparkSession, path: str, layers: tuple[str, ...] = LAYERS) -
     return checks.union(out)
 
 
+def resource_bytes(spark: SparkSession, path: str, resource: str) -> DataFrame:
+    """(package, content) of a resource that the manifest lists with the size and digest its member has; no row otherwise."""
+    register(spark)
+    both = spark.read.format("zipcontent").option("prefix", "datapackage").load(path).where(F.col("path") == MANIFEST)
+    manifests = both.groupBy("package").agg(F.max_by("content", "ordinal").alias("manifest"))
+    listed = manifests.mapInPandas(_listed, "package string, path string, hash string, bytes long").where(F.col("path") == resource)
+    content = spark.read.format("zipcontent").option("prefix", resource).load(path).where(F.col("path") == resource)
+    last = content.groupBy("package", "path").agg(F.max_by("content", "ordinal").alias("content"))
+    same = (F.lower("hash") == F.concat(F.lit("sha256:"), F.sha2("content", 256))) & (F.col("bytes") == F.octet_length("content"))
+    return last.join(listed, ["package", "path"]).where(same).select("package", "content")
+
+
 def conformant(findings: DataFrame) -> bool:
     return findings.isEmpty()
 
@@ -237,4 +249,4 @@ def captures_of(spark: SparkSession, path: str, url: str) -> DataFrame:
     return lines.join(records, ["package", "member", "offset", "length"], "left").withColumn("http", _http(None)("target_uri", "record_type", "body"))
 
 
-__all__ = ["HTTP", "LAYERS", "captures_of", "conformant", "index_findings", "manifest_problems", "signature_state", "validate"]
+__all__ = ["HTTP", "LAYERS", "captures_of", "conformant", "index_findings", "manifest_problems", "resource_bytes", "signature_state", "validate"]

@@ -77,6 +77,11 @@ class PackageWriter:
         self.discard()
 
     def discard(self) -> None:
+        if self._zip.fp is not None:
+            try:
+                self._zip.close()
+            except ValueError:  # a member was still open
+                self._zip.fp = None
         self._file.close()
         if os.path.exists(self._temp):
             os.unlink(self._temp)

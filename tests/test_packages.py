@@ -5,8 +5,9 @@ import zipfile
 
 import pytest
 
-from skeinlake.operators.validate import captures_of, signature_state, validate
+from skeinlake.operators.validate import captures_of, manifest_problems, resource_bytes, signature_state, validate
 from skeinlake.sinks.convert import Conversion
+from skeinlake.sinks.manifest import Contributor, License, Metadata, Source
 from skeinlake.sinks.package import PackageError, PackageWriter, WriterOptions
 from skeinlake.sources import formats as W
 from skeinlake.sources.readers import member_range, register
@@ -54,6 +55,7 @@ def test_convert_read_and_validate(spark, tmp_path, lines):
     assert found == []
     hits = captures_of(spark, dest, "http://example.com/page").select("status", "record_type").collect()
     assert sorted(map(tuple, hits)) == [(200, "response"), (304, "revisit")]
+    assert resource_bytes(spark, dest, "pages/pages.jsonl").count() == 1 and resource_bytes(spark, dest, "none").count() == 0
     register(spark)
     assert spark.read.format("warc").load(dest).where("record_type = 'metadata'").count() == 2
     assert spark.read.format("pagelist").load(dest).where("not is_header").count() == 3
@@ -135,3 +137,18 @@ def test_member_range(tmp_path):
     for args, code in ((("archive/a", 8, 3), "RANGE"), (("b", 0, 1), "COMPRESSED")):
         with pytest.raises(W.FormatError, match=code):
             member_range(str(p), *args)
+
+
+def test_metadata_builders():
+    from datetime import UTC, datetime
+
+    m = Metadata(name="a-b", title="T", sources=[Source("s")], licenses=[License(name="CC0")], contributors=[Contributor("c", role="author")], created=datetime(2024, 1, 1, 0, 0, 0, 120000, UTC), extra={"mine": 1}).row()
+    assert m["created"] == "2024-01-01T00:00:00.12Z" and m["mine"] == 1 and "keywords" not in m
+    raw = json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": [{"name": "x", "path": "y"}], **m}).encode()
+    assert manifest_problems(raw)[0] == []
+    for bad in (Metadata(name="A B"), Metadata(extra={"title": "x"}), Metadata(sources=[Source("")]), Metadata(licenses=[License()]), Metadata(contributors=[Contributor("c", role="Author")]), Metadata(created=datetime(2024, 1, 1))):
+        with pytest.raises(PackageError):
+            bad.row()
+    codes = [c for c, _ in manifest_problems(b'{"created": "2024-01-01T00:00:00", "modified": "x", "sources": [{}], "licenses": [{}], "contributors": [{"title": "t", "role": "X"}], "name": "A"}')[0]]
+    assert codes == ["MANIFEST_DATE_NONCONFORMING", "MANIFEST_DATE_INVALID", "MANIFEST_PROFILE", "MANIFEST_VERSION", "MANIFEST_NAME", "MANIFEST_NO_RESOURCES", "MANIFEST_SOURCE", "MANIFEST_LICENSE", "MANIFEST_ROLE"]
+    assert manifest_problems(b"[")[0] == [("MANIFEST_UNPARSEABLE", "datapackage.json")]
