@@ -24,7 +24,7 @@ from skeinlake.session import cut_lineage
 PARTS = re.compile(r"\s+[·|/>»›•]\s+|\s*[|｜]\s*")
 DIGITS = re.compile(r"\d+")
 HOLDER = re.compile(r"(©|\(c\)|copyright)\s*0\s+[^\s.,]+")
-TREE = "page_id long, host string, line_nos array<int>, sigs array<long>, skeletons array<long>, kinds array<int>, parts array<array<long>>"
+TREE = "page_id long, host string, line_nos array<int>, sigs array<long>, skeletons array<long>, kinds array<int>, parts array<array<long>>, lens array<int>"
 TITLE, SENTENCE, CRUMB, LONG = 1, 2, 4, 8
 NAME = re.compile(r"[A-Z][a-z'’]{2,}")
 PLAIN = re.compile(r"[^\W\dA-Z_][^\W\d_]+|[぀-ヿ㐀-鿿]{2}")
@@ -34,6 +34,7 @@ INSIDE = re.compile(r"[.!?]\s+\S|[。！？]")
 MANY_HOSTS = 12  # hosts that make a menu part known everywhere
 CHUNK_PAGES = 128
 PARTNERS = 4  # pages that a page is aligned with
+COPIED = 0.2  # share of a page's text that makes it a copy of another
 MODEL_ROWS = 2_000_000  # rows of 16 bytes that may be broadcast
 
 
@@ -65,13 +66,13 @@ def line_kind(line: str) -> int:
     return SENTENCE if END.search(line) or INSIDE.search(line) else TITLE
 
 
-def page_tree(text: str, site: str) -> tuple[list[int], list[int], list[int], list[int], list[list[int]]]:
-    """(line numbers, signatures, skeletons, kinds, parts) of the non-empty lines."""
+def page_tree(text: str, site: str) -> tuple[list[int], list[int], list[int], list[int], list[list[int]], list[int]]:
+    """(line numbers, signatures, skeletons, kinds, parts, lengths) of the non-empty lines."""
     if not text.isascii() and SUSPECT.search(text):
         fixed = plain_restore(text)
         if fixed is not None and fixed.count("\n") == text.count("\n"):
             text = fixed
-    nos, sigs, skeletons, kinds, parts = [], [], [], [], []
+    nos, sigs, skeletons, kinds, parts, lens = [], [], [], [], [], []
     for n, line in enumerate(text.split("\n"), 1):
         line = line.strip()
         if not line:
@@ -80,17 +81,18 @@ def page_tree(text: str, site: str) -> tuple[list[int], list[int], list[int], li
         own: list[int] = []
         if not kind & LONG or line.count(" · ") + line.count(" | ") + line.count(" / ") > 3:
             pieces = PARTS.split(line)
-            if 1 < len(pieces) <= 16:
+            if len(pieces) > 1:
                 own = [_hash(signature(p, site)) for p in pieces]
                 if len(pieces) == 2:
                     kind |= CRUMB
         nos.append(n)
         sigs.append(_hash(signature(line, site)))
-        bare = None if kind & LONG else skeleton(line)
+        bare = skeleton(line)
         skeletons.append(0 if bare is None else _hash(bare))
         kinds.append(kind)
         parts.append(own)
-    return nos, sigs, skeletons, kinds, parts
+        lens.append(len(line))
+    return nos, sigs, skeletons, kinds, parts, lens
 
 
 def simple_tree_matching(a: list[tuple[int, list]], b: list[tuple[int, list]]) -> tuple[int, list[tuple[int, int]]]:
@@ -130,22 +132,28 @@ def _trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, host, text in zip(pdf["page_id"], pdf["host"], pdf["text"], strict=True):
             labels = (host or "").split(".")
             rows.append((i, host, *page_tree(text, labels[-2] if len(labels) > 1 else "")))
-        yield pd.DataFrame(rows, columns=["page_id", "host", "line_nos", "sigs", "skeletons", "kinds", "parts"])
+        yield pd.DataFrame(rows, columns=["page_id", "host", "line_nos", "sigs", "skeletons", "kinds", "parts", "lens"])
 
 
 def _align(pdf: pd.DataFrame) -> pd.DataFrame:
     """Matches of each node over the pairs of one chunk of a host's pages.
 
-    Pairs that share a long line are copies of each other, whose body would look constant; they have no vote.
+    Pairs of the same class are copies of each other, whose body would look constant; they have no vote, and two
+    classes have one for each node.
     """
     pdf = pdf.sort_values("order")
     forests = [[(s, [(int(x), []) for x in p]) for s, p in zip(sigs.tolist(), parts, strict=True)] for sigs, parts in zip(pdf["sigs"], pdf["parts"], strict=True)]
-    long = [{s for s, k in zip(sigs.tolist(), kinds.tolist(), strict=True) if k & LONG} for sigs, kinds in zip(pdf["sigs"], pdf["kinds"], strict=True)]
+    of = pdf["class"].tolist()
     votes: Counter = Counter()
+    voted = set()
     for i, x in enumerate(forests):
         for j in range(i + 1, min(i + 1 + PARTNERS, len(forests))):
-            if long[i].isdisjoint(long[j]):
+            if of[i] != of[j]:
+                pair = min(of[i], of[j]), max(of[i], of[j])
                 for p, _ in simple_tree_matching(x, forests[j])[1]:
+                    if (x[p][0], pair) in voted:
+                        continue
+                    voted.add((x[p][0], pair))
                     votes[x[p][0]] += 1
                     if len(x[p][1]) > 2:  # the parts of a menu that matched
                         for part, _ in x[p][1]:
@@ -160,13 +168,46 @@ def page_trees(pages: DataFrame, id_column: str = "page_id", url_column: str = "
     return rows.select(F.col(id_column).cast("long").alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.col(text_column).alias("text")).mapInPandas(_trees, TREE)
 
 
-def host_templates(trees: DataFrame) -> DataFrame:
+def _components(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The least page of the connected component of each page of a host's copies."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up.setdefault(y, y)
+        return x
+
+    for a, b in zip(pdf["page_id"].tolist(), pdf["first"].tolist(), strict=True):
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    return pd.DataFrame({"host": pdf["host"].iloc[0], "page_id": np.array(list(up), np.int64), "class": np.array([root(x) for x in up], np.int64)})
+
+
+def copy_classes(trees: DataFrame) -> DataFrame:
+    """(host, page_id, class) of pages that share COPIED of the shorter one's text with another page of their host, and of pages
+    that are so linked through others. A shared line counts the less the more of the host's pages have it, so that
+    what all pages have makes no copies.
+
+    Each line links its pages to the least of them, so links are no more than lines.
+    """
+    nodes = trees.select("host", "page_id", F.explode(F.arrays_zip("sigs", "lens")).alias("z")).groupBy("host", "page_id", F.col("z.sigs").alias("sig")).agg(F.max("z.lens").alias("len"))
+    length = nodes.groupBy("host", "page_id").agg(F.sum("len").alias("whole"))
+    sizes = trees.groupBy("host").agg(F.count_distinct("page_id").alias("n"))
+    shared = nodes.groupBy("host", "sig").agg(F.count(F.lit(1)).alias("on"), F.min("page_id").alias("first")).where(F.col("on") > 1).join(sizes, "host")
+    shared = shared.select("host", "sig", "first", F.least(F.lit(1.0), 1 - F.col("on") / F.col("n") + 1 / F.col("on")).alias("weight"))
+    links = nodes.join(shared, ["host", "sig"]).where(F.col("page_id") != F.col("first")).groupBy("host", "page_id", "first").agg(F.sum(F.col("len") * F.col("weight")).alias("same"))
+    links = links.join(length, ["host", "page_id"]).join(length.toDF("host", "first", "other"), ["host", "first"])
+    links = links.where(F.col("same") >= COPIED * F.least("whole", "other")).select("host", "page_id", "first")
+    return links.groupBy("host").applyInPandas(_components, "host string, page_id long, class long")
+
+
+def host_templates(trees: DataFrame, classes: DataFrame) -> DataFrame:
     """(host, sig) of constant nodes: those that two alignments of the host's pages agree on, and for lines that read
     as sentences one alignment for each fifty pages, because such lines also match by chance or in copies."""
     sizes = trees.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     order = F.xxhash64("page_id", F.lit(17))
-    chunked = trees.join(sizes, "host").select(
-        "host", F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n") / CHUNK_PAGES)).alias("chunk"), order.alias("order"), "sigs", "kinds", "parts")
+    chunked = trees.join(sizes, "host").join(classes, ["host", "page_id"], "left").withColumn("class", F.coalesce("class", "page_id")).select(
+        "host", F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n") / CHUNK_PAGES)).alias("chunk"), order.alias("order"), "class", "sigs", "kinds", "parts")
     votes = chunked.groupBy("host", "chunk").applyInPandas(_align, "host string, sig long, votes long, reads boolean")
     total = votes.groupBy("host", "sig").agg(F.sum("votes").alias("votes"), F.bool_or("reads").alias("reads")).join(sizes, "host")
     enough = F.when(F.col("reads"), F.greatest(F.lit(2), F.col("n") / 50)).otherwise(2)
@@ -177,7 +218,7 @@ def common_nodes(trees: DataFrame, templates: DataFrame) -> DataFrame:
     """(what, sig) of nodes that need no template of their own host: lines (what 0) that a tenth of
     the hosts have, or that are constant on three hosts and one of twenty that have them, skeletons (what 2) that are so on three hosts and one of ten lines, and
     menu parts (what 1) on MANY_HOSTS hosts. Lines that read as sentences need three of twenty constant."""
-    nodes = trees.select("host", F.explode(F.arrays_zip("sigs", "skeletons", "kinds")).alias("z")).where(F.col("z.kinds").bitwiseAND(LONG) == 0)
+    nodes = trees.select("host", F.explode(F.arrays_zip("sigs", "skeletons", "kinds")).alias("z"))
     nodes = nodes.select("host", F.col("z.sigs").alias("sig"), F.col("z.skeletons").alias("skeleton"), F.col("z.kinds").bitwiseAND(SENTENCE).alias("sentence")).distinct()
     nodes = nodes.join(templates.withColumn("fixed", F.lit(1)), ["host", "sig"], "left")
     lines = nodes.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.count("fixed").alias("fixed"), F.max("sentence").alias("sentence"))
@@ -264,7 +305,7 @@ def boilerplate_lines(pages: DataFrame, id_column: str = "page_id", url_column:
     Each row is a page, so rows with the same id give the same lines twice.
     """
     trees = cut_lineage(page_trees(pages, id_column, url_column, text_column))
-    templates = cut_lineage(host_templates(trees))
+    templates = cut_lineage(host_templates(trees, copy_classes(trees)))
     common = common_nodes(trees, templates).toPandas()  # nodes that many hosts share
     lines, parts, bare = (set(common.loc[common["what"] == k, "sig"].astype("int64").tolist()) for k in (0, 1, 2))
     sc = pages.sparkSession.sparkContext

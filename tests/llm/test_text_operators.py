@@ -180,6 +180,16 @@ def test_boilerplate(spark):
     assert bodies[900] is None and bodies[902] == rows[-1][3]
     assert boilerplate_lines(df.limit(0)).count() == 0
 
+def test_long_lines_and_long_menus_are_voted_on(spark):
+    rng = random.Random(21)
+    cookie = f"Kalo keeps {prose(rng, 20)} so that it knows your settings, and shares {prose(rng, 8)} with nobody."
+    menu = " · ".join(f"Section {w.capitalize()}" for w in WORDS[:20])
+    bodies = [f"{prose(rng, 40)}. {prose(rng, 9)}." for _ in range(24)]
+    bodies[20:] = [bodies[0] + "\n" + bodies[1]] * 4  # copies make no template
+    rows = [(n, f"https://long.test/{n}", None, f"{menu}\n{cookie}\n{b}\nSeen by Kalo") for n, b in enumerate(bodies)]
+    got = {tuple(r) for r in boilerplate_lines(pages_of(spark, rows)).collect()}
+    assert got == {(n, k) for n, b in enumerate(bodies) for k in (1, 2, b.count("\n") + 4)}
+
 
 # --- packing -----------------------------------------------------------------------------------------------------------------
 
