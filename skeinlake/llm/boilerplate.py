@@ -33,7 +33,7 @@ INSIDE = re.compile(r"[.!?]\s+\S|[。！？]")
 
 MANY_HOSTS = 12  # hosts that make a menu part known everywhere
 CHUNK_PAGES = 128
-PARTNERS = 4  # pages that a page is aligned with
+PARTNERS = 4  # pages that a page is aligned with, to confirm the order of what all pages are counted for
 COPIED = 0.2  # share of a page's text that makes it a copy of another
 MODEL_ROWS = 2_000_000  # rows of 16 bytes that may be broadcast
 
@@ -136,30 +136,22 @@ def _trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _align(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Matches of each node over the pairs of one chunk of a host's pages.
+    """Of the aligned pairs of one chunk of a host's pages, how many have a line on both pages and how many match it.
 
-    Pairs of the same class are copies of each other, whose body would look constant; they have no vote, and two
-    classes have one for each node.
+    Pairs of the same class are copies of each other, whose body would look constant; they are left out.
     """
     pdf = pdf.sort_values("order")
     forests = [[(s, [(int(x), []) for x in p]) for s, p in zip(sigs.tolist(), parts, strict=True)] for sigs, parts in zip(pdf["sigs"], pdf["parts"], strict=True)]
+    labels = [{s for s, _ in x} for x in forests]
     of = pdf["class"].tolist()
-    votes: Counter = Counter()
-    voted = set()
+    met: Counter = Counter()
+    matched: Counter = Counter()
     for i, x in enumerate(forests):
         for j in range(i + 1, min(i + 1 + PARTNERS, len(forests))):
             if of[i] != of[j]:
-                pair = min(of[i], of[j]), max(of[i], of[j])
-                for p, _ in simple_tree_matching(x, forests[j])[1]:
-                    if (x[p][0], pair) in voted:
-                        continue
-                    voted.add((x[p][0], pair))
-                    votes[x[p][0]] += 1
-                    if len(x[p][1]) > 2:  # the parts of a menu that matched
-                        for part, _ in x[p][1]:
-                            votes[part] += 1
-    reads = {s for sigs, kinds in zip(pdf["sigs"], pdf["kinds"], strict=True) for s, k in zip(sigs.tolist(), kinds.tolist(), strict=True) if k & SENTENCE}
-    return pd.DataFrame({"host": pdf["host"].iloc[0], "sig": np.array(list(votes), np.int64), "votes": np.array(list(votes.values()), np.int64), "reads": [s in reads for s in votes]})
+                met.update(labels[i] & labels[j])
+                matched.update({x[p][0] for p, _ in simple_tree_matching(x, forests[j])[1]})
+    return pd.DataFrame({"host": pdf["host"].iloc[0], "sig": np.array(list(met), np.int64), "met": np.array(list(met.values()), np.int64), "matched": np.array([matched[s] for s in met], np.int64)})
 
 
 def page_trees(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", text_column: str = "text") -> DataFrame:
@@ -202,16 +194,25 @@ def copy_classes(trees: DataFrame) -> DataFrame:
 
 
 def host_templates(trees: DataFrame, classes: DataFrame) -> DataFrame:
-    """(host, sig) of constant nodes: those that two alignments of the host's pages agree on, and for lines that read
-    as sentences one alignment for each fifty pages, because such lines also match by chance or in copies."""
+    """(host, sig) of constant nodes: those on pages of three classes of the host, and for lines that read as sentences on
+    one class for each fifty pages, because such lines are also copied alone. Every page counts; copies count once.
+    Parts count in menu lines that stand on more than one page.
+
+    Alignment confirms the order: a line that aligned pages hold but mostly don't match is not constant.
+    """
     sizes = trees.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     order = F.xxhash64("page_id", F.lit(17))
-    chunked = trees.join(sizes, "host").join(classes, ["host", "page_id"], "left").withColumn("class", F.coalesce("class", "page_id")).select(
-        "host", F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n") / CHUNK_PAGES)).alias("chunk"), order.alias("order"), "class", "sigs", "kinds", "parts")
-    votes = chunked.groupBy("host", "chunk").applyInPandas(_align, "host string, sig long, votes long, reads boolean")
-    total = votes.groupBy("host", "sig").agg(F.sum("votes").alias("votes"), F.bool_or("reads").alias("reads")).join(sizes, "host")
-    enough = F.when(F.col("reads"), F.greatest(F.lit(2), F.col("n") / 50)).otherwise(2)
-    return total.where(F.col("votes") >= enough).select("host", "sig")
+    trees = trees.join(sizes, "host").join(classes, ["host", "page_id"], "left").withColumn("class", F.coalesce("class", "page_id"))
+    chunked = trees.select("host", F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n") / CHUNK_PAGES)).alias("chunk"), order.alias("order"), "class", "sigs", "parts")
+    met = chunked.groupBy("host", "chunk").applyInPandas(_align, "host string, sig long, met long, matched long").groupBy("host", "sig").agg(F.sum("met").alias("met"), F.sum("matched").alias("matched"))
+    disordered = met.where(2 * F.col("matched") < F.col("met")).select("host", "sig")
+    lines = trees.select("host", "class", F.explode(F.arrays_zip("sigs", "kinds")).alias("z")).select("host", "class", F.col("z.sigs").alias("sig"), (F.col("z.kinds").bitwiseAND(SENTENCE) > 0).alias("reads"))
+    menus = trees.select("host", "class", "page_id", F.explode(F.filter(F.arrays_zip("sigs", "parts"), lambda z: F.size(z["parts"]) > 2)).alias("z")).select("host", "class", "page_id", F.col("z.sigs").alias("line"), F.col("z.parts").alias("p"))
+    repeated = menus.groupBy("host", "line").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b")).where(F.col("a") < F.col("b")).select("host", "line")
+    parts = menus.join(repeated, ["host", "line"]).select("host", "class", F.explode("p").alias("sig"), F.lit(False).alias("reads"))
+    counted = lines.unionByName(parts).groupBy("host", "sig", "class").agg(F.max("reads").alias("reads")).groupBy("host", "sig").agg(F.count(F.lit(1)).alias("classes"), F.max("reads").alias("reads"))
+    enough = F.when(F.col("reads"), F.greatest(F.lit(3), F.col("n") / 50)).otherwise(3)
+    return counted.where(F.col("classes") > 2).join(sizes, "host").where(F.col("classes") >= enough).join(disordered, ["host", "sig"], "left_anti").select("host", "sig")
 
 
 def common_nodes(trees: DataFrame, templates: DataFrame) -> DataFrame:

@@ -190,6 +190,17 @@ def test_long_lines_and_long_menus_are_voted_on(spark):
     got = {tuple(r) for r in boilerplate_lines(pages_of(spark, rows)).collect()}
     assert got == {(n, k) for n, b in enumerate(bodies) for k in (1, 2, b.count("\n") + 4)}
 
+def test_lines_on_few_pages_of_a_host_are_constant(spark):
+    rng = random.Random(22)
+    rows, want = [], set()
+    for h in range(12):
+        for n in range(40):
+            own = [f"{prose(rng, 40)}. {prose(rng, 9)}." for _ in range(2)]
+            few = [f"Write to the desk of section {WORDS[h]} at noon."] if n % 13 == h % 13 else []  # on 3 or 4 of the host's 40 pages
+            want |= {(h * 40 + n, 3) for _ in few}
+            rows.append((h * 40 + n, f"https://host{h}.test/{n}", None, "\n".join(own + few)))
+    assert {tuple(r) for r in boilerplate_lines(pages_of(spark, rows)).collect()} == want
+
 
 # --- packing -----------------------------------------------------------------------------------------------------------------
 
