@@ -237,8 +237,8 @@ def common_nodes(trees: DataFrame, templates: DataFrame) -> DataFrame:
 class Wrapper:
     """Decides the lines of a page, given the templates of hosts and the nodes common to many."""
 
-    def __init__(self, templates: dict[str, set[int]], lines: set[int], parts: set[int], bare: set[int], heads: frozenset[int] = frozenset(), longest: int = 3):
-        self.templates, self.lines, self.parts, self.bare, self.heads, self.longest = templates, lines, parts, bare, heads, longest
+    def __init__(self, templates: dict[str, set[int]], lines: set[int], parts: set[int], bare: set[int], heads: frozenset[int] = frozenset()):
+        self.templates, self.lines, self.parts, self.bare, self.heads = templates, lines, parts, bare, heads
 
     def constant(self, host: str, sigs: list[int], skeletons: list[int], kinds: list[int], parts: list[list[int]]) -> list[bool]:
         own = self.templates.get(host, ())
@@ -264,7 +264,7 @@ class Wrapper:
         out = list(constant)
         for i, s in enumerate(sigs):
             if constant[i] and s in self.heads:
-                for j in range(min(self.slots(kinds, constant, i), self.longest)):
+                for j in range(self.slots(kinds, constant, i)):
                     out[i + 1 + j] = True
         return out
 
@@ -274,8 +274,8 @@ def _plain(pdf: pd.DataFrame) -> Iterator[tuple]:
         yield i, host, nos.tolist(), sigs.tolist(), skeletons.tolist(), kinds.tolist(), [p.tolist() for p in parts]
 
 
-def list_heads(trees: DataFrame, model) -> tuple[frozenset[int], int]:
-    """(constant nodes that mostly have varying titles behind them, longest usual list of those)."""
+def list_heads(trees: DataFrame, model) -> frozenset[int]:
+    """Constant nodes that mostly have varying titles behind them; such a list ends at the first sentence or constant node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wrapper, seen = Wrapper(*model.value), Counter()
@@ -284,19 +284,17 @@ def list_heads(trees: DataFrame, model) -> tuple[frozenset[int], int]:
                 constant = wrapper.constant(host, sigs, skeletons, kinds, parts)
                 for i, s in enumerate(sigs):
                     if constant[i] and (s in wrapper.lines or skeletons[i] in wrapper.bare) and i + 1 < len(sigs):
-                        seen[s, min(wrapper.slots(kinds, constant, i), 9)] += 1
+                        seen[s, min(wrapper.slots(kinds, constant, i), 1)] += 1
         yield pd.DataFrame({"sig": np.array([s for s, _ in seen], np.int64), "slots": np.array([n for _, n in seen], np.int32), "n": np.array(list(seen.values()), np.int64)})
 
-    # at most ten rows for each node common to many hosts
+    # at most two rows for each node common to many hosts
     got = trees.mapInPandas(run, "sig long, slots int, n long").groupBy("sig", "slots").agg(F.sum("n").alias("n")).toPandas()
     if got.empty:
-        return frozenset(), 3
+        return frozenset()
     total = got.groupby("sig")["n"].sum()
     filled = got[got["slots"] > 0].groupby("sig")["n"].sum().reindex(total.index, fill_value=0)
     heads = total.index[(total >= 5) & (filled >= 0.6 * total)]
-    of = got[got["sig"].isin(heads) & (got["slots"] > 0)].groupby("slots")["n"].sum()
-    longest = max([n for n in of.index if of[of.index >= n].sum() >= 0.1 * of.sum()], default=3)
-    return frozenset(int(h) for h in heads), int(longest)
+    return frozenset(int(h) for h in heads)
 
 
 def boilerplate_lines(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", text_column: str = "text") -> DataFrame:
@@ -319,8 +317,8 @@ def boilerplate_lines(pages: DataFrame, id_column: str = "page_id", url_column:
         known = {}
         joined = trees.join(templates.withColumn("sig", F.col("sig")), "host", "left").groupBy(*trees.columns).agg(F.collect_list("sig").alias("own"))
     first = sc.broadcast((known, lines, parts, bare))
-    heads, longest = list_heads(trees, first)
-    model = sc.broadcast((known, lines, parts, bare, heads, longest))
+    heads = list_heads(trees, first)
+    model = sc.broadcast((known, lines, parts, bare, heads))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wrapper = Wrapper(*model.value)

@@ -201,6 +201,22 @@ def test_lines_on_few_pages_of_a_host_are_constant(spark):
             rows.append((h * 40 + n, f"https://host{h}.test/{n}", None, "\n".join(own + few)))
     assert {tuple(r) for r in boilerplate_lines(pages_of(spark, rows)).collect()} == want
 
+def listed_pages(rng):
+    """Twelve hosts with lists of two links, one with lists of twelve; (rows, lines that are boilerplate)."""
+    rows, want = [], set()
+    for h in range(13):
+        for n in range(10):
+            links = [f"How {prose(rng, 1)} lost its {prose(rng, 1)}" for _ in range(12 if h == 12 else 2)]
+            text = [f"{prose(rng, 40)}. {prose(rng, 9)}.", "You may also like", *links]
+            rows.append((h * 10 + n, f"https://list{h}.test/{n}", None, "\n".join(text)))
+            want |= {(h * 10 + n, k) for k in range(2, len(text) + 1)}
+    return rows, want
+
+
+def test_long_link_lists_are_whole(spark):
+    rows, want = listed_pages(random.Random(23))
+    assert {tuple(r) for r in boilerplate_lines(pages_of(spark, rows)).collect()} == want
+
 
 # --- packing -----------------------------------------------------------------------------------------------------------------
 
