@@ -274,13 +274,23 @@ def _plain(pdf: pd.DataFrame) -> Iterator[tuple]:
         yield i, host, nos.tolist(), sigs.tolist(), skeletons.tolist(), kinds.tolist(), [p.tolist() for p in parts]
 
 
+def _with_own(wrapper: Wrapper, pdf: pd.DataFrame) -> Iterator[tuple]:
+    """_plain, with the template that travels with a page put into the wrapper where there is one."""
+    owns = pdf["own"] if "own" in pdf else None
+    for k, row in enumerate(_plain(pdf)):
+        if owns is not None:
+            own = owns.iloc[k]
+            wrapper.templates = {row[1]: set() if own is None else set(own.tolist())}
+        yield row
+
+
 def list_heads(trees: DataFrame, model) -> frozenset[int]:
     """Constant nodes that mostly have varying titles behind them; such a list ends at the first sentence or constant node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wrapper, seen = Wrapper(*model.value), Counter()
         for pdf in batches:
-            for _, host, _, sigs, skeletons, kinds, parts in _plain(pdf):
+            for _, host, _, sigs, skeletons, kinds, parts in _with_own(wrapper, pdf):
                 constant = wrapper.constant(host, sigs, skeletons, kinds, parts)
                 for i, s in enumerate(sigs):
                     if constant[i] and (s in wrapper.lines or skeletons[i] in wrapper.bare) and i + 1 < len(sigs):
@@ -313,21 +323,18 @@ def boilerplate_lines(pages: DataFrame, id_column: str = "page_id", url_column:
         for h, s in zip(*(c for _, c in templates.toPandas().items()), strict=True):
             known.setdefault(h, set()).add(int(s))
         joined = trees
-    else:  # the template travels with the page
+    else:  # the template, one row a host, travels with the page
         known = {}
-        joined = trees.join(templates.withColumn("sig", F.col("sig")), "host", "left").groupBy(*trees.columns).agg(F.collect_list("sig").alias("own"))
+        joined = trees.join(templates.groupBy("host").agg(F.collect_list("sig").alias("own")), "host", "left")
     first = sc.broadcast((known, lines, parts, bare))
-    heads = list_heads(trees, first)
+    heads = list_heads(joined, first)
     model = sc.broadcast((known, lines, parts, bare, heads))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wrapper = Wrapper(*model.value)
         for pdf in batches:
             ids, nos_out = [], []
-            owns = pdf["own"] if "own" in pdf else None
-            for k, (i, host, nos, sigs, skeletons, kinds, own_parts) in enumerate(_plain(pdf)):
-                if owns is not None:
-                    wrapper.templates = {host: set(owns.iloc[k].tolist())}
+            for i, host, nos, sigs, skeletons, kinds, own_parts in _with_own(wrapper, pdf):
                 for n, b in zip(nos, wrapper.boilerplate(host, sigs, skeletons, kinds, own_parts), strict=True):
                     if b:
                         ids.append(i)

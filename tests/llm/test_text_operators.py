@@ -217,6 +217,20 @@ def test_long_link_lists_are_whole(spark):
     rows, want = listed_pages(random.Random(23))
     assert {tuple(r) for r in boilerplate_lines(pages_of(spark, rows)).collect()} == want
 
+def test_templates_that_travel_with_pages_give_the_same(spark, monkeypatch):
+    from skeinlake.llm import boilerplate
+
+    rng = random.Random(24)
+    rows, _ = listed_pages(rng)
+    for h in range(12):  # behind the notice mostly stands a line that is constant on its host only, so the notice is no list head
+        for n in range(10):
+            behind = f"kept near {WORDS[h]} and {WORDS[h + 20]}" if n else f"About {prose(rng, 2)}"
+            rows.append((1000 + h * 10 + n, f"https://kept{h}.test/{n}", None, f"{prose(rng, 40)}. {prose(rng, 9)}.\nA notice to all\n{behind}"))
+    rows.append((900, "https://alone.test/", None, "One line. Two."))
+    plain = sorted(map(tuple, boilerplate_lines(pages_of(spark, rows)).collect()))
+    monkeypatch.setattr(boilerplate, "MODEL_ROWS", 0)
+    assert sorted(map(tuple, boilerplate_lines(pages_of(spark, rows)).collect())) == plain and (1001, 3) in plain and (1000, 3) not in plain
+
 
 # --- packing -----------------------------------------------------------------------------------------------------------------
 
