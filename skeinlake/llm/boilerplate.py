@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinlake.llm.garble import SUSPECT, plain_restore
@@ -67,12 +67,12 @@ def line_kind(line: str) -> int:
 
 
 def page_tree(text: str, site: str) -> tuple[list[int], list[int], list[int], list[int], list[list[int]], list[int]]:
-    """(line numbers, signatures, skeletons, kinds, parts, lengths) of the non-empty lines."""
+    """(line numbers, signatures, skeletons, kinds, parts, lengths) of the non-empty lines; the length is 0 where a signature is repeated."""
     if not text.isascii() and SUSPECT.search(text):
         fixed = plain_restore(text)
         if fixed is not None and fixed.count("\n") == text.count("\n"):
             text = fixed
-    nos, sigs, skeletons, kinds, parts, lens = [], [], [], [], [], []
+    nos, sigs, skeletons, kinds, parts, lens, met = [], [], [], [], [], [], set()
     for n, line in enumerate(text.split("\n"), 1):
         line = line.strip()
         if not line:
@@ -91,7 +91,8 @@ def page_tree(text: str, site: str) -> tuple[list[int], list[int], list[int], li
         skeletons.append(0 if bare is None else _hash(bare))
         kinds.append(kind)
         parts.append(own)
-        lens.append(len(line))
+        lens.append(0 if sigs[-1] in met else len(line))
+        met.add(sigs[-1])
     return nos, sigs, skeletons, kinds, parts, lens
 
 
@@ -182,14 +183,15 @@ def copy_classes(trees: DataFrame) -> DataFrame:
 
     Each line links its pages to the least of them, so links are no more than lines.
     """
-    nodes = trees.select("host", "page_id", F.explode(F.arrays_zip("sigs", "lens")).alias("z")).groupBy("host", "page_id", F.col("z.sigs").alias("sig")).agg(F.max("z.lens").alias("len"))
-    length = nodes.groupBy("host", "page_id").agg(F.sum("len").alias("whole"))
-    sizes = trees.groupBy("host").agg(F.count_distinct("page_id").alias("n"))
-    shared = nodes.groupBy("host", "sig").agg(F.count(F.lit(1)).alias("on"), F.min("page_id").alias("first")).where(F.col("on") > 1).join(sizes, "host")
-    shared = shared.select("host", "sig", "first", F.least(F.lit(1.0), 1 - F.col("on") / F.col("n") + 1 / F.col("on")).alias("weight"))
-    links = nodes.join(shared, ["host", "sig"]).where(F.col("page_id") != F.col("first")).groupBy("host", "page_id", "first").agg(F.sum(F.col("len") * F.col("weight")).alias("same"))
-    links = links.join(length, ["host", "page_id"]).join(length.toDF("host", "first", "other"), ["host", "first"])
-    links = links.where(F.col("same") >= COPIED * F.least("whole", "other")).select("host", "page_id", "first")
+    sizes = trees.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.aggregate("lens", F.lit(0), lambda x, y: x + y)
+    rows = trees.select("host", "page_id", F.monotonically_increasing_id().alias("row"), whole.alias("whole"), F.arrays_zip("sigs", "lens").alias("z")).join(sizes, "host")
+    nodes = rows.select("host", "n", "page_id", "row", "whole", F.explode("z").alias("z")).select("host", "n", "page_id", "row", "whole", F.col("z.sigs").alias("sig"), F.col("z.lens").alias("len")).where(F.col("len") > 0)
+    line = Window.partitionBy("sig", "host")
+    shared = nodes.withColumn("on", F.count(F.lit(1)).over(line)).withColumn("first", F.min(F.struct("page_id", "whole")).over(line)).where((F.col("on") > 1) & (F.col("page_id") != F.col("first.page_id")))
+    weight = F.least(F.lit(1.0), 1 - F.col("on") / F.col("n") + 1 / F.col("on"))
+    links = shared.groupBy("host", "page_id", "row", "whole", "first").agg(F.sum(F.col("len") * weight).alias("same"))
+    links = links.where(F.col("same") >= COPIED * F.least("whole", "first.whole")).select("host", "page_id", F.col("first.page_id").alias("first"))
     return links.groupBy("host").applyInPandas(_components, "host string, page_id long, class long")
 
 
@@ -314,7 +316,7 @@ def boilerplate_lines(pages: DataFrame, id_column: str = "page_id", url_column:
     Each row is a page, so rows with the same id give the same lines twice.
     """
     trees = cut_lineage(page_trees(pages, id_column, url_column, text_column))
-    templates = cut_lineage(host_templates(trees, copy_classes(trees)))
+    templates = cut_lineage(host_templates(trees, cut_lineage(copy_classes(trees))))
     common = common_nodes(trees, templates).toPandas()  # nodes that many hosts share
     lines, parts, bare = (set(common.loc[common["what"] == k, "sig"].astype("int64").tolist()) for k in (0, 1, 2))
     sc = pages.sparkSession.sparkContext
