@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -62,6 +63,11 @@ PLACEHOLDER = re.compile(
 #: What every placeholder has.
 MARKS = re.compile(r"[{%@\[]|<[?%]|__|TODO|XXX|TBD|goes here")
 SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
+#: Where a sentence, a line or a part of a menu ends.
+BOUND = re.compile(r"[\n。！？|｜·•>»›]|[.!?…](?=\s|$)|\s[–—/-]\s")
+QUOTED = re.compile(r"“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]|「[^」\n]*」|\"[^\"\n]*\"|`[^`\n]*`")
+#: An exemplar of as many words is a notice wherever it stands; two East Asian characters are a word.
+FREE_WORDS = 5
 #: Placeholders between quotes or code marks are quoted, and variables of a shell are its own.
 MENTION = re.compile(r"[`'\"“”‘’«»„「」]\s*$")
 ENVIRONMENT = re.compile(r"[$#]\{?(?:HOME|PATH|USER|SHELL|PWD|LANG|TMPDIR|EDITOR|HOSTNAME|TERM)\b")
@@ -96,35 +102,81 @@ class Retriever:
         self.unknown = math.log(n + 1) * 0.5 + 0.2  # a word outside the exemplars
         self.contained, self.covered = contained, covered
         self.exemplars = _exemplar_words()
-        # the two rarest words of each exemplar; a passage must have both
-        self.index: dict[str, list[tuple[str, int]]] = defaultdict(list)
-        for i, (_, c, _) in enumerate(self.exemplars):
-            top = sorted(c, key=lambda w: (-self.weight[w], w))[:2]
-            self.index[top[0]].append((top[-1], i))
         self.total = [sum(self.weight[w] * k for w, k in c.items()) for _, c, _ in self.exemplars]
+        # the rarest words of each exemplar that weigh more than may be missing; a passage must have one of them
+        self.index: dict[str, list[int]] = defaultdict(list)
+        for i, (_, c, _) in enumerate(self.exemplars):
+            left = (1 - self.contained) * self.total[i]
+            for w in sorted(c, key=lambda w: (-self.weight[w] * c[w], w)):
+                self.index[w].append(i)
+                left -= self.weight[w] * c[w]
+                if left < 0:
+                    break
 
     def candidates(self, found: set[str]) -> list[int]:
-        return sorted({i for w in found.intersection(self.index) for other, i in self.index[w] if other in found})
+        """Exemplars that a passage made of the words ``found`` can hold."""
+        near = {i for w in found.intersection(self.index) for i in self.index[w]}
+        return sorted(i for i in near if sum(self.weight[w] * k for w, k in self.exemplars[i][1].items() if w in found) >= self.contained * self.total[i])
+
+    def accepts(self, i: int, got: Counter) -> bool:
+        """Does a passage of the words ``got`` hold exemplar ``i``, and the exemplar cover the passage?"""
+        _, want, slots = self.exemplars[i]
+        held = sum(self.weight[w] * k for w, k in (got & want).items())
+        if held < self.contained * self.total[i]:
+            return False
+        rest = got - want
+        # slots are filled by words of any kind: as many of the other words are free, and one more for a site's name
+        free = slots + 1 if slots else 1
+        costs = sorted((self.weight.get(w, self.unknown) for w, k in rest.items() for _ in range(k)), reverse=True)[free:]
+        if len(rest) > 2 * free + 2:
+            return False
+        return held >= self.covered * (held + sum(costs)) and bool(slots or sum(want.values()) > 1 or sum(rest.values()) == 0)
 
     def passage(self, text: str, among: list[int]) -> str | None:
         """Label of the exemplar in ``among`` that holds and covers ``text``, or None."""
         got = Counter(w for w in words(SLOT.sub(" ", text)) if not w.isdigit() or w in VOCABULARY)
-        if not got:
-            return None
+        return next((self.exemplars[i][0] for i in among if got and self.accepts(i, got)), None)
+
+    def window(self, text: str, among: list[int]) -> str | None:
+        """Label of the exemplar in ``among`` that some window of ``text`` holds, across lines, or None.
+
+        A window is as long as its exemplar with its slots filled. Exemplars of fewer than FREE_WORDS words are also
+        used in prose; their windows begin and end where a sentence, a line or a part of a menu does. What stands
+        between quotation marks is a mention.
+        """
+        text = SLOT.sub(" ", text)
+        spans = [(m.start(), m.end(), w) for m in WORD.finditer(text) if not (w := m[0].lower()).isdigit() or w in VOCABULARY]
+        tokens = [w for _, _, w in spans]
+        places: dict[str, list[int]] = defaultdict(list)
+        for k, w in enumerate(tokens):
+            places[w].append(k)
+        edges: dict[int, bool] = {}
+        quoted = [m.span() for m in QUOTED.finditer(text)]
+        starts = [a for a, _ in quoted]
+
+        def edge(k: int) -> bool:
+            """Does a sentence, a line or a part end before word ``k``?"""
+            if k not in edges:
+                edges[k] = k in (0, len(spans)) or BOUND.search(text, spans[k - 1][1], spans[k][0]) is not None
+            return edges[k]
+
         for i in among:
             label, want, slots = self.exemplars[i]
-            both = got & want
-            held = sum(self.weight[w] * k for w, k in both.items())
-            if held < self.contained * self.total[i]:
-                continue
-            rest = got - want
-            # slots are filled by words of any kind: as many of the other words are free, and one more for a site's name
-            free = slots + 1 if slots else 1
-            costs = sorted((self.weight.get(w, self.unknown) for w, k in rest.items() for _ in range(k)), reverse=True)[free:]
-            if len(rest) > 2 * free + 2:
-                continue
-            if held >= self.covered * (held + sum(costs)) and (slots or sum(want.values()) > 1 or sum(rest.values()) == 0):
-                return label
+            width = sum(want.values()) + (slots + 1 if slots else 0)
+            short = sum(k if w < "\u3040" else 0.5 * k for w, k in want.items()) < FREE_WORDS
+            for at in sorted(k for w in want for k in places[w]):
+                q = bisect_right(starts, spans[at][0]) - 1
+                if (q >= 0 and spans[at][0] < quoted[q][1]) or (short and not edge(at)):
+                    continue
+                end = min(at + width, len(tokens))
+                if short:
+                    ends = [k for k in range(at + 1, end + 1) if edge(k)]
+                else:
+                    while tokens[end - 1] not in want:
+                        end -= 1
+                    ends = [end]
+                if any(self.accepts(i, Counter(tokens[at:k])) for k in ends):
+                    return label
         return None
 
     def filler(self, text: str) -> bool:
@@ -158,14 +210,15 @@ class Retriever:
             for line in text.split("\n"):
                 line = line.strip()
                 here = self.candidates(set(words(line))) if line else []
-                if not here:
-                    continue
-                if label := self.passage(line, here):
+                if here and (label := self.passage(line, here)):
                     return label
-                if len(line) > 60:
-                    for s in SENTENCE.split(line):
-                        if len(s) > 12 and s != line and (label := self.passage(s, here)) and label != "filler" and len(WORD.findall(s)) >= 5:
+            for line in text.split("\n"):
+                if len(line) > 60 and (here := self.candidates(set(words(line)))):
+                    for x in SENTENCE.split(line):
+                        if len(x) > 12 and len(WORD.findall(x)) >= 5 and (label := self.passage(x, here)) and label != "filler":
                             return label
+            if label := self.window(text, among):
+                return label
         if len(found & FILLER_WORDS) >= 5 and self.filler(text):
             return "filler"
         return None

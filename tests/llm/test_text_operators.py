@@ -145,6 +145,15 @@ def test_residue(spark):
     assert sum(r["id"] == 0 for r in got) == 2
     assert residue_fields(pages_of(spark, rows).limit(0)).count() == 0
 
+def test_residue_inside_other_text(spark):
+    rng = random.Random(25)
+    cases = [f"{prose(rng, 12)}. Access denied. {prose(rng, 12)}.", f"{prose(rng, 12)} | Page not found | {prose(rng, 3)}", f"{prose(rng, 20)}.\nNot\nFound\n{prose(rng, 20)}.",
+             f"Home News About {prose(rng, 14)} The requested URL /kalo was not found on this server {prose(rng, 14)}", f"{prose(rng, 9)}\nYou do not have permission\nto access /kalo on this server\n{prose(rng, 9)}",
+             f"{prose(rng, 12)}. Your text here. {prose(rng, 12)}.", f"{prose(rng, 12)} Oops! We looked in every drawer of kalo.test but the page is gone. {prose(rng, 12)}"]
+    fine = ["When a server answers 404 Not Found, Kalo still keeps the record.", "Kalo wrote “You do not have permission to access it on this server” on the wall of the café and went home.", "She was not denied access to the page that he found."]
+    rows = [(i, "u", None, t) for i, t in enumerate(cases)] + [(100 + i, "u", None, t) for i, t in enumerate(fine)] + [(200 + i, "u", None, prose(rng, 60)) for i in range(200)]
+    assert {r["id"] for r in residue_fields(pages_of(spark, rows)).collect()} == set(range(len(cases)))
+
 
 # --- boilerplate -------------------------------------------------------------------------------------------------------------
 
