@@ -266,7 +266,7 @@ def residue_fields(pages: DataFrame, fields: tuple[str, ...] = ("title", "text")
                 for i, t in zip(pdf["__id"], pdf[f], strict=True):
                     if t:
                         label = judge.label(t)
-                        if label is None and len(t) <= 500 and not t.isascii() and (fixed := plain_restore(t)) is not None:
+                        if label is None and not t.isascii() and (fixed := plain_restore(t)) is not None:
                             label = judge.label(fixed)
                         if label:
                             rows.append((i, f, label))

@@ -154,6 +154,12 @@ def test_residue_inside_other_text(spark):
     rows = [(i, "u", None, t) for i, t in enumerate(cases)] + [(100 + i, "u", None, t) for i, t in enumerate(fine)] + [(200 + i, "u", None, prose(rng, 60)) for i in range(200)]
     assert {r["id"] for r in residue_fields(pages_of(spark, rows)).collect()} == set(range(len(cases)))
 
+def test_garbled_residue_in_long_fields(spark):
+    rng = random.Random(26)
+    bad = [x.encode().decode("cp1252", "replace") for x in ("Désolé, la page /kalo n’existe pas ou plus sur kalo.test.", "Lo sentimos: no existe ninguna página /kalo en kalo.test. Código 4")]
+    rows = [(i, "u", None, f"{prose(rng, 90)}.\n{x}\n{prose(rng, 90)}.") for i, x in enumerate(bad)] + [(100 + i, "u", None, prose(rng, 180) + " cafÃ©") for i in range(50)]
+    assert {r["id"] for r in residue_fields(pages_of(spark, rows)).collect()} == {0, 1}
+
 
 # --- boilerplate -------------------------------------------------------------------------------------------------------------
 
