@@ -232,6 +232,28 @@ def zipnum_running_offset(spark: SparkSession, d: str) -> DataFrame:
     return index.block_offsets(index.block_summary(index.assign_blocks(_day_lines(spark, d)))).select("block_no", "n_bytes", "byte_offset")
 
 
+# The same over whole index lines, as index_lines has them; their JSON has no SQL. The queries above keep the day lines of their SQL.
+
+
+def _index_lines(spark: SparkSession, d: str) -> DataFrame:
+    return index.capture_lines(table(spark, d, "captures").where(c("key").isNotNull() & c("ts_raw").isNotNull()))
+
+
+@query()
+def index_line_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return index.assign_blocks(_index_lines(spark, d))
+
+
+@query()
+def index_line_summary(spark: SparkSession, d: str) -> DataFrame:
+    return index.block_summary(index.assign_blocks(_index_lines(spark, d)))
+
+
+@query()
+def index_line_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return index.block_offsets(index.block_summary(index.assign_blocks(_index_lines(spark, d)))).select("block_no", "n_bytes", "byte_offset")
+
+
 _PREVIOUS = "lag(row(key, ts_raw)) OVER (PARTITION BY package_id, index_path ORDER BY line_no, capture_id)"
 
 

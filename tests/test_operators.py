@@ -184,3 +184,18 @@ def test_layout_of_empty_listing(spark):
     assert checks.layout(none).count() == 0
     one = spark.createDataFrame([("p", "archive/x/y.warc", "deflated")], "package_id string, path string, compression string")
     assert {r["code"] for r in checks.layout(one).collect()} == {"LAYOUT_BAD_WARC_PATH", "LAYOUT_MISSING_MANIFEST", "LAYOUT_MISSING_PAGES", "LAYOUT_MISSING_WARC", "LAYOUT_MISSING_INDEX", "LAYOUT_NOT_STORED"}
+
+
+def test_blocks_of_whole_index_lines(spark):
+    from skeinlake.operators.index import capture_lines
+    from skeinlake.plans.archive import QUERIES
+    from skeinlake.session import table
+
+    d = "/root/testdata/sf0.001"
+    lines = sorted({r["line"].encode() for r in capture_lines(table(spark, d, "captures").where("key IS NOT NULL AND ts_raw IS NOT NULL")).collect()})
+    assert {(r["line"].encode(), r["ordinal"], r["block_no"]) for r in QUERIES["index_line_blocks"](spark, d).collect()} == {(x, i, i // 1024) for i, x in enumerate(lines)}
+    blocks = [lines[i : i + 1024] for i in range(0, len(lines), 1024)]
+    sizes = [sum(len(x) + 1 for x in b) for b in blocks]
+    want = {(i, b" ".join(b[0].split(b" ")[:2]).decode(), len(b), n) for i, (b, n) in enumerate(zip(blocks, sizes, strict=True))}
+    assert {tuple(r) for r in QUERIES["index_line_summary"](spark, d).collect()} == want
+    assert {tuple(r) for r in QUERIES["index_line_offsets"](spark, d).collect()} == {(i, n, sum(sizes[:i])) for i, n in enumerate(sizes)}
