@@ -83,7 +83,7 @@ def _joined(texts: list[str]) -> np.ndarray:
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pairs, chars = np.zeros(PAIR_SLOTS, np.int64), np.zeros(CHAR_SLOTS, np.int64)
-    example = np.zeros(PAIR_SLOTS, np.int64)
+    example, fields = np.zeros(PAIR_SLOTS, np.int64), np.zeros(PAIR_SLOTS, np.int64)
     for pdf in batches:
         texts = [t for c in pdf.columns for t in pdf[c] if t and (t.isascii() or not SUSPECT.search(t))]
         if texts:
@@ -92,19 +92,26 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pairs += np.bincount(slots, minlength=PAIR_SLOTS)
             example[slots] = (codes[:-1] << np.uint64(21) | codes[1:]).astype(np.int64)
             chars += np.bincount(_char_slots(codes), minlength=CHAR_SLOTS)
+            for t in texts:
+                if not t.isascii():
+                    fields[np.unique(_pair_slots(_codes(t)))] += 1
     for kind, table, of in ((0, pairs, example), (1, chars, None)):
         slot = np.flatnonzero(table)
         if len(slot):
-            yield pd.DataFrame({"kind": np.int32(kind), "slot": slot.astype(np.int32), "n": table[slot], "pair": of[slot] if of is not None else np.int64(0)})
+            yield pd.DataFrame({"kind": np.int32(kind), "slot": slot.astype(np.int32), "n": table[slot], "pair": of[slot] if of is not None else np.int64(0), "fields": fields[slot] if of is not None else np.int64(0)})
 
 
 UNSEEN = 255
+#: Non-ASCII fields that must hold a pair, so that no field vouches for itself.
+SEEN_IN = 2
+#: Score from which a pair is suspicious: four bits less than chance, at every size of the corpus.
+SUSPICIOUS = 160
 
 
 class PairModel:
     """Scores of adjacent characters by mutual information in the clean corpus.
 
-    ``odd`` holds a byte a slot: UNSEEN for pairs that clean text doesn't hold, otherwise 128 less
+    ``odd`` holds a byte a slot: UNSEEN for pairs that fewer than SEEN_IN clean fields hold, otherwise 128 less
     eight times the pair's mutual information in bits, cut to 0 to 250. ``seen`` has character counts.
     """
 
@@ -114,25 +121,37 @@ class PairModel:
     @classmethod
     def fit(cls, texts: DataFrame) -> PairModel:
         """Counts over all rows of all columns of ``texts``; at most PAIR_SLOTS + CHAR_SLOTS rows come back."""
-        counts = texts.mapInPandas(_count, "kind int, slot int, n long, pair long").groupBy("kind", "slot").agg(F.sum("n").alias("n"), F.max("pair").alias("pair"))
+        counts = texts.mapInPandas(_count, "kind int, slot int, n long, pair long, fields long").groupBy("kind", "slot").agg(F.sum("n").alias("n"), F.max("pair").alias("pair"), F.sum("fields").alias("fields"))
         got = counts.toPandas()
-        pairs, chars, example = np.zeros(PAIR_SLOTS), np.zeros(CHAR_SLOTS, np.float32), np.zeros(PAIR_SLOTS, np.int64)
+        pairs, chars, example, fields = np.zeros(PAIR_SLOTS), np.zeros(CHAR_SLOTS, np.float32), np.zeros(PAIR_SLOTS, np.int64), np.zeros(PAIR_SLOTS, np.int64)
         part = got[got["kind"] == 0]
         pairs[part["slot"].to_numpy()], example[part["slot"].to_numpy()] = part["n"].to_numpy(), part["pair"].to_numpy()
+        fields[part["slot"].to_numpy()] = part["fields"].to_numpy()
         part = got[got["kind"] == 1]
         chars[part["slot"].to_numpy()] = part["n"].to_numpy()
         total = max(pairs.sum(), 1.0)
         p = np.maximum(chars.astype(np.float64), 1.0) / total
         first, second = (example >> 21) & (CHAR_SLOTS - 1), example & (CHAR_SLOTS - 1)
         information = np.log2(np.maximum(pairs, 1e-9) / total / p[first] / p[second])
-        byte = np.where(pairs < max(1.0, 3e-8 * total), UNSEEN, np.clip(128 - 8 * information, 0, 250)).astype(np.uint8)
+        byte = np.where(fields < SEEN_IN, UNSEEN, np.clip(128 - 8 * information, 0, 250)).astype(np.uint8)
         return cls(byte, chars)
 
-    def suspicious(self, codes: np.ndarray) -> np.ndarray:
-        """For each adjacent pair with a non-ASCII character: is it unseen in clean text? Four Cyrillic capitals in a row
-        count too, because lower case turns into them between two Cyrillic encodings."""
+    def scores(self, codes: np.ndarray) -> np.ndarray:
+        """Of each adjacent pair: 1 where clean text lacks it, less the greater its mutual information, -0.5 for ASCII and usual pairs."""
         high = codes > 127
-        out = (high[:-1] | high[1:]) & (self.odd[_pair_slots(codes)] == UNSEEN)
+        odd = self.odd[_pair_slots(codes)].astype(np.float64)
+        out = np.where(high[:-1] | high[1:], np.maximum((odd - SUSPICIOUS + 1) / (UNSEEN - SUSPICIOUS + 1), -0.5), -0.5)
+        out[self._capitals(codes)] = 1.0
+        return out
+
+    def suspicious(self, codes: np.ndarray) -> np.ndarray:
+        """For each adjacent pair: is its score above 0?"""
+        return self.scores(codes) > 0
+
+    @staticmethod
+    def _capitals(codes: np.ndarray) -> np.ndarray:
+        """First pairs of four Cyrillic capitals in a row, because lower case turns into them between two Cyrillic encodings."""
+        out = np.zeros(max(len(codes) - 1, 0), bool)
         capital = (codes >= 0x410) & (codes <= 0x42F)
         if len(codes) > 3:
             four = capital[:-3] & capital[1:-2] & capital[2:-1] & capital[3:]
@@ -199,8 +218,9 @@ def _readings_of(run: str) -> Iterator[tuple[str, str]]:
                 cjk = sum("\u3000" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3" or "\uff00" <= c < "\uffef" for c in text)
                 if cjk >= 2 and cjk >= 0.6 * sum(c > "\x7f" for c in text):
                     yield "east", text
+        if len(raw) >= 2:
             for target in ("cp1251", "koi8_r") if e in ("cp1252", "latin_1", "cp1251", "koi8_r") else ():
-                if target != e:
+                if target != e and (len(raw) >= 4 or e in ("cp1252", "latin_1")):
                     text = raw.decode(target, "replace")
                     if sum("\u0400" <= c <= "\u045f" for c in text) >= 0.7 * sum(c > "\x7f" for c in text):
                         yield "swap", text
@@ -225,7 +245,10 @@ def invert(run: str, model: PairModel, left: str = " ", right: str = " ", depth:
         if kind == "utf8" and depth < 2 and (deeper := invert(text, model, left, right, depth + 1)):
             text, whole = deeper[0], deeper[1] and whole
         odd = model.oddness(text, left, right)
-        if odd <= here - (SWAP_MARGIN if kind == "swap" and run[:1] >= "\u0400" else MARGIN) and (best is None or odd < best[0]):
+        swap = kind == "swap" and run[:1] >= "\u0400"
+        if swap and odd >= 128:  # rare capitals are not undone to letters that are rarer together than by chance
+            continue
+        if odd <= here - (SWAP_MARGIN if swap else MARGIN) and (best is None or odd < best[0]):
             best = (odd, text, whole)
     return None if best is None else best[1:]
 
@@ -238,13 +261,14 @@ def invert_all(text: str, model: PairModel, restore: bool = True) -> tuple[str,
     if text.isascii():
         return None
     codes = _codes(text)
-    odd = model.suspicious(codes)
+    scores = model.scores(codes)
+    odd = scores > 0
     lost = "�" in text
     if not odd.any() and not lost:
         return None
     if lost and not restore:
         return text, False
-    spans = maximum_segments(np.where(odd, 1.0, -0.5)) if odd.any() else []
+    spans = maximum_segments(scores) if odd.any() else []
     first = _invert_runs(text, model, spans, not restore)
     if not first[1]:
         return (text, False) if lost else None

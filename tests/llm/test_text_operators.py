@@ -128,6 +128,19 @@ def test_segments_and_plain_restore():
     assert plain_restore("cafÃ© ok") == "café ok" and plain_restore("café") is None
     assert plain_restore("é".encode().decode("cp1252").encode().decode("cp1252")) == "é"
 
+def test_garbled_fields_do_not_vouch_for_themselves(spark):
+    rows = [(i * 100 + k, "u", None, t) for k in range(60) for i, t in enumerate(CLEAN)]
+    bad = {70000: "общий журнал".encode().decode("koi8_r"), 70001: "Там же".encode("cp1251").decode("cp1252")}
+    got = {(r["id"], r["field"]) for r in garbled_fields(pages_of(spark, rows + [(i, "u", t, "x") for i, t in bad.items()])).collect()}
+    assert got == {(i, "title") for i in bad}
+
+
+def test_pair_scores_do_not_depend_on_size(spark):
+    rows = [(i * 100 + k, "u", None, t) for k in range(3) for i, t in enumerate(CLEAN)]
+    small, large = (PairModel.fit(pages_of(spark, rows * k).select("title", "text")) for k in (1, 400))
+    at = np.frombuffer("".join(CLEAN).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    assert (small.suspicious(at) == large.suspicious(at)).all()
+
 
 # --- residue -------------------------------------------------------------------------------------------------------------
 
