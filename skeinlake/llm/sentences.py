@@ -1,15 +1,22 @@
 """Sentence units in many languages and scripts (problem 10).
 
-Each paragraph is cut at candidate points into whole spans by semi-Markov dynamic programming: a
-span's score joins its length, the word that opens it, the word and marks that close it, and
-whether its quotes and brackets balance.
+Each paragraph is cut by semi-Markov dynamic programming: of all ways to divide it into spans at its
+candidate points the one with the greatest sum of span scores is taken. A span's score joins how
+likely its first word opens a unit, its last word and marks close one, its length, and whether the
+quotes and brackets in it balance. What words and lengths are likely is counted over all documents,
+in tables of fixed size, at places that leave no doubt: where paragraphs begin and end, and inside
+clauses. Lists of abbreviations are only where those counts start from.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,189 +40,380 @@ FINAL = frozenset("etc a.m p.m inc ltd co corp jr usw ff u.s uu д.р др г г
 ORDINAL_NEXT = frozenset("januar februar märz april mai juni juli august september oktober november dezember jänner jahrhundert".split())
 
 CLOSERS = "”\"»’')]」』）】》›“］"
-STRONG = "。！？｡।॥։።፧፨؟۔။។༎‼⁇⁈"
+STRONG = "。！？｡।॥։።፧፨؟۔။༎‼⁇⁈"
 SOFT = ".!?…;‥"
-BULLET = re.compile(r"[*•·▪◦‣○●■–—-][ \t ]+|\(?\d{1,3}[.)][ \t ]+(?=\S)|[a-zA-Z][)][ \t ]+")
-CANDIDATE = re.compile(rf"(?:[{STRONG}]|[.!?…‥]+|(?<=[Ͱ-Ͽἀ-῿]);)[{SOFT}{STRONG}]*(?:[{re.escape(CLOSERS)}]|[   ][»›])*")
-THAI_GAP = re.compile(r"(?<=[฀-๿຀-໿က-႟])[ \u00a0]+(?=[฀-๏຀-໿က-႟])")
+BULLET = re.compile(r"[*•·▪◦‣○●■–—-][ \t ]+|\(?\d{1,3}[.)][ \t ]+(?=\S)|[a-zA-Z][)][ \t ]+")
+#: A stop between digits, or before a small letter or digit without a blank, is no candidate.
+CANDIDATE = re.compile(rf"(?:[{STRONG}]|\.(?![a-z0-9,:/])|[.!?…‥]{{2,}}|[!?…‥]|(?<=[Ͱ-Ͽἀ-῿]);)[{SOFT}{STRONG}]*(?:[{re.escape(CLOSERS)}]|[   ][»›])*")
+THAI_GAP = re.compile(r"(?<=[฀-๿຀-໿က-႟])[  ]+(?=[฀-๏຀-໿က-႟])")
 PAIRS = {"(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "【": "】", "《": "》", "«": "»", "“": "”", "„": "“", "‹": "›", "［": "］", "‚": "‘"}
+MARKED = re.compile('["' + re.escape("".join(dict.fromkeys([*PAIRS, *PAIRS.values()]))) + "]")
 SAID = re.compile(r"[^。！？\n“”「」]{0,24}(?:问道|说道|说|写道|答道|回答|喊道|问)[。！？]")
 PARTICLE = "とがをにはのもへでよねか"
 WORD_BEFORE = re.compile(r"([^\s(\[{“„«»”「『\"—–/:;,]+)$")
-LONGEST_QUOTE = 800
-REACH = 24  # candidates that a span may run over before longer ones are only tried at the paragraph's end
+#: The word that opens what follows; of scripts without blanks its first two characters.
+OPENING = re.compile(r"\s*([—–-]?(?:[⺀-鿿가-힣]{1,2}|[^\W⺀-鿿가-힣][^\W⺀-鿿가-힣’']*)|\S|\Z)")
+INNER = re.compile(r"(?<=[\w,] )(?:[⺀-鿿가-힣]{1,2}|[^\W⺀-鿿가-힣][^\W⺀-鿿가-힣’']*)")
+BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
+WINDOW = 40  # characters before a mark that hold its word, and of the line behind a break that hold its bullet
+LONG_QUOTE = 800  # from this length on, a quotation counts for less the longer it is
+
+SLOTS = 1 << 18
+OPENS, INSIDE, CLOSES, GOES_ON, MIDDLE = range(5)
+KINDS = 5
+LENGTHS = 48  # two bins an octave, for scripts with and without blanks
+SHORTEST = -4.0  # least score of a length: no cut below it pays, none above its double can be undone
+PRIOR = 4.0  # observations that the starting values count for
+
+
+def _slot(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (SLOTS - 1)
+
+
+def _bin(n: int) -> int:
+    return min(LENGTHS // 2 - 1, int(2 * math.log2(max(n, 1))))
+
+
+#: Bins of all lengths below that from which on they are alike.
+_BINS = np.array([_bin(n) for n in range(int(2 ** ((LENGTHS // 2 - 1) / 2)) + 1)])
+
+
+def _word_before(text: str, at: int, floor: int = 0) -> str:
+    tail = WORD_BEFORE.search(text[max(floor, at - WINDOW) : at])
+    return (tail[1] if tail else "").lstrip("'’‘*").lower()
+
+
+class SpanModel:
+    """Scores of opening words, closing words and lengths. Without counts the starting values alone decide."""
+
+    def __init__(self, counts: np.ndarray | None = None, lengths: np.ndarray | None = None):
+        self.counts, self.known_open, self.known_close = counts, {}, {}
+        lengths = np.zeros(LENGTHS) if lengths is None else np.asarray(lengths, np.float64)
+        self.length_table = []
+        for half in (lengths[: LENGTHS // 2], lengths[LENGTHS // 2 :]):
+            # a bin and its neighbours, so that few observations do; long spans have their starting values
+            smooth = half + 0.5 * np.r_[0, half[:-1]] + 0.5 * np.r_[half[1:], 0]
+            start = np.array([1.0 if b < 3 else 20.0 if 8 <= b <= 14 else 6.0 if b <= 17 else 1.0 for b in range(LENGTHS // 2)])
+            share = (smooth + start * 5) / (smooth.sum() + 5 * start.sum())
+            self.length_table.append(np.clip(0.5 * np.log(share / share.max()), SHORTEST, 0.0).tolist())
+
+    def _n(self, kind: int, word: str) -> float:
+        return float(self.counts[kind, _slot(word)]) if self.counts is not None else 0.0
+
+    def opening(self, word: str) -> float:
+        """Log odds that ``word`` opens a unit rather than stands inside one."""
+        got = self.known_open.get(word)
+        if got is None:
+            c = word[:1]
+            first = word[1:2] if c in "—–-" else c
+            start = 0.0 if not c else 0.01 if first.islower() else 0.75 if first.isupper() else 0.35 if first.isdigit() else 0.03 if c in "—–-" and not first else 0.6
+            a, b = self._n(OPENS, word), self._n(INSIDE, word) * 0.2  # units are about five words and more
+            got = 0.0 if not c else math.log((a + PRIOR * start) / (b + PRIOR * (1 - start)))
+            got = self.known_open[word] = min(max(got, -5.0), 4.0)
+            if len(self.known_open) > 1 << 16:
+                self.known_open.clear()
+        return got
+
+    def closing(self, word: str) -> float:
+        """Log odds that a stop behind ``word`` ends a unit."""
+        got = self.known_close.get(word)
+        if got is None:
+            start = 0.25 if word in FINAL else 0.01 if word in ABBREVIATIONS else 0.04 if len(word) == 1 and word.isalpha() else 0.1 if "." in word and word.replace(".", "").isalpha() else 0.5 if word.isdigit() and len(word) < 3 else 0.96
+            end, on, mid = self._n(CLOSES, word), max(self._n(GOES_ON, word) - 1, 0.0), self._n(MIDDLE, word)  # one may be of the text at hand
+            got = math.log((end + PRIOR * start) / (on + PRIOR * (1 - start)))
+            # a word that ends units also ends paragraphs; one that is often before a capital and never there is short for something
+            want = 0.1 * (mid + end)
+            if end < 0.2 * want:
+                got -= min(5.0, want - end)
+            got = self.known_close[word] = min(max(got, -5.0), 4.0)
+            if len(self.known_close) > 1 << 16:
+                self.known_close.clear()
+        return got
+
+    def may_end(self, word: str) -> bool:
+        """Is ``word`` known to end units though it also goes on?"""
+        return word in FINAL or (word not in ABBREVIATIONS and self._n(CLOSES, word) >= PRIOR)
+
+    def length(self, n: int, spaced: bool) -> float:
+        return self.length_table[0 if spaced else 1][_bin(n)]
+
+    @classmethod
+    def fit(cls, docs: DataFrame) -> SpanModel:
+        """Counts over all rows of ``docs`` (column text); KINDS * SLOTS + LENGTHS rows come back at most."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            table, lengths, met = np.zeros((KINDS, SLOTS), np.int64), np.zeros(LENGTHS, np.int64), [Counter() for _ in range(KINDS)]
+
+            def fold() -> None:
+                for kind, words in enumerate(met):
+                    for w, n in words.items():
+                        table[kind, _slot(w)] += n
+                    words.clear()
+
+            for pdf in batches:
+                for t in pdf["text"]:
+                    if t:
+                        observe(t, met, lengths)
+                if sum(map(len, met)) > SLOTS:
+                    fold()
+            fold()
+            kind, slot = np.nonzero(table)
+            at = np.flatnonzero(lengths)
+            yield pd.DataFrame({"kind": np.r_[kind, np.full(len(at), KINDS)].astype(np.int32), "slot": np.r_[slot, at].astype(np.int32), "n": np.r_[table[kind, slot], lengths[at]]})
+
+        got = docs.select("text").mapInPandas(run, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()
+        counts, lengths = np.zeros((KINDS, SLOTS), np.float32), np.zeros(LENGTHS)
+        words = got[got["kind"] < KINDS]
+        counts[words["kind"].to_numpy(), words["slot"].to_numpy()] = words["n"].to_numpy()
+        rest = got[got["kind"] == KINDS]
+        lengths[rest["slot"].to_numpy()] = rest["n"].to_numpy()
+        return cls(counts, lengths)
+
+
+def _spaced(text: str, at: int) -> bool:
+    """Is what stands before ``at`` of a script with blanks between words?"""
+    c = text[at - 1 : at]
+    return not ("⺀" <= c <= "鿿" or "。" == c or "฀" <= c <= "႟" or "＀" <= c <= "￯")
 
 
-def _depths(text: str) -> list[int]:
-    """Quotes and brackets open after each character; those never closed, or not within LONGEST_QUOTE, don't count."""
+def observe(text: str, met: list[Counter], lengths: np.ndarray) -> None:
+    """Counts of one text at the places that leave no doubt."""
+    met[INSIDE].update(INNER.findall(text))
+    at = 0
+    for gap in [*BLANK.finditer(text), None]:
+        end = gap.start() if gap else len(text)
+        word = OPENING.match(text, at)[1]
+        if BULLET.match(text, at) is None and end - at > 1:
+            met[OPENS][word] += 1
+        at, start, marks, last = gap.end() if gap else end, at, 0, None
+        for m in CANDIDATE.finditer(text, start, end):
+            marks += 1
+            last = m
+            if m[0] == "." and m.end() < end and text[m.end()].isspace():
+                nxt = text[m.end() + 1 : m.end() + 2]
+                w = _word_before(text, m.start(), start)
+                if nxt.isdigit() or (nxt.islower() and not word[:1].islower()):  # a text all in small letters shows nothing
+                    met[GOES_ON][w] += 1
+                elif nxt.isupper():
+                    met[MIDDLE][w] += 1
+        if last is not None and last.end() == end:
+            if last[0] == ".":
+                met[CLOSES][_word_before(text, last.start(), start)] += 1
+            if marks == 1:
+                lengths[_bin(end - start) + (0 if _spaced(text, last.start()) else LENGTHS // 2)] += 1
+
+
+def _quotes(text: str, lo: int, hi: int) -> tuple[dict[int, float], set[int]]:
+    """(where the weight of the quotes and brackets that are open changes, positions that close one). Those never closed don't count."""
     stack: list[tuple[str, int]] = []
-    spans: list[tuple[int, int]] = []
-    for i, c in enumerate(text):
-        if c == '"':
-            if stack and stack[-1][0] == '"':
-                spans.append((stack.pop()[1], i))
-            else:
-                stack.append(('"', i))
-            continue
-        hit = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1) if stack[k][0] == c), None)
-        if hit is not None and not (c == "“" and stack[hit][0] != "“"):
-            spans.append((stack[hit][1], i))
-            del stack[hit:]
-        elif c in PAIRS:
+    waiting: Counter = Counter()
+    change: dict[int, float] = {}
+    closes: set[int] = set()
+
+    def end(at: int, began: int) -> None:
+        weight = min(1.0, LONG_QUOTE / max(at - began, 1))
+        change[began] = change.get(began, 0.0) + weight
+        change[at] = change.get(at, 0.0) - weight
+        closes.add(at)
+
+    for m in MARKED.finditer(text, lo, hi):
+        c, i = m[0], m.start()
+        if c == "“" and not waiting[c] or c != "“" and c in PAIRS:
             stack.append((PAIRS[c], i))
-    change = [0] * (len(text) + 1)
-    for a, b in spans:
-        if b - a <= LONGEST_QUOTE:
-            change[a] += 1
-            change[b] -= 1
-    out, d = [], 0
-    for i in range(len(text)):
-        d += change[i]
-        out.append(d)
-    return out
+            waiting[PAIRS[c]] += 1
+        elif c == '"' and not (stack and stack[-1][0] == c):
+            stack.append((c, i))
+            waiting[c] += 1
+        elif waiting[c]:
+            while True:
+                want, began = stack.pop()
+                waiting[want] -= 1
+                if want == c:
+                    end(i, began)
+                    break
+    return change, closes
 
 
-def _closing(text: str, m: re.Match) -> float:
-    """Score of ending a span with the marks of ``m``."""
-    mark, before, after = m[0], text[: m.start()], text[m.end() :]
-    follow = after.lstrip()
-    gap = len(after) - len(follow)
-    nxt = follow[:1]
+def _cut(text: str, m: re.Match, stop: int, hi: int, model: SpanModel) -> float | None:
+    """What spans that end with the marks of ``m`` and begin behind them gain; None where none does."""
+    mark, at = text[m.start() : stop], m.start()
+    opener = OPENING.match(text, stop, hi)
+    word = opener[1]
+    nxt = word[:1]
     if not nxt:
-        return 6.0
-    closed = mark[-1] in CLOSERS
+        return 0.0
     if nxt in ",;:，、；：)）]」』»”":
-        return -6.0
+        return None
+    gap = opener.start(1) > stop
+    closed = mark[-1] in CLOSERS
+    wide = nxt >= "⺀"
     if mark[0] in STRONG or any(c in STRONG for c in mark):
-        if closed and (nxt in PARTICLE and gap == 0 or SAID.match(follow)):
-            return -6.0
-        return 5.0 if not (nxt.islower() and closed) else -6.0
-    core = mark.rstrip(CLOSERS + "   ")
-    cjk_before, cjk_next = before[-1:] >= "⺀", nxt >= "⺀"
-    if gap == 0 and not closed:
-        if cjk_before or cjk_next:
-            return 4.0 if core[0] in "!?…" or (core == "." and cjk_before and cjk_next) else -6.0
-        tail = WORD_BEFORE.search(before)
-        fused = core == "." and tail is not None and tail[1].isalpha() and len(tail[1]) >= 4 and tail[1][-2:].islower() and nxt.isupper() and follow[1:2].islower()
-        return 2.5 if fused else -6.0
-    if gap == 0:
-        return 3.0 if cjk_next and core[0] in "!?…" and not (nxt in PARTICLE or SAID.match(follow)) else 1.0 if nxt.isupper() and core else -6.0
+        if closed and (not gap and nxt in PARTICLE or SAID.match(text, opener.start(1), hi)):
+            return None
+        return 6.0 if not closed and not nxt.islower() else 4.0 + model.opening(word)
+    core = mark.rstrip(CLOSERS + "   ")
+    before = text[at - 1 : at]
+    if not gap and not closed:
+        if before >= "⺀" or wide:
+            return 6.0 if core[0] in "!?…" or (core == "." and before >= "⺀" and wide) else None
+        if core != "." or not nxt.isupper() or not (word[1:2].islower() or text[stop + 1 : stop + 2] == "."):
+            return None
+        last = _word_before(text, at)
+        return model.closing(last) + model.opening(word) - 1.5 if last.isalpha() and len(last) > 1 else None
+    if not gap:
+        if wide:
+            return 5.0 if core[:1] in "!?…" and not (nxt in PARTICLE or SAID.match(text, opener.start(1), hi)) else None
+        return 1.0 if nxt.isupper() and core else None
+    opens = model.opening(word)
+    cased = nxt.isupper() or nxt.islower()
+    if closed:
+        return 2.5 + opens
     if core.startswith(("…", "..")):
-        return -5.0 if nxt.islower() else 3.0
+        return 6.0 if before >= "⺀" and not nxt.islower() else 1.5 + opens
     if core[:1] in "!?;" or core[-1:] in "!?":
-        return -5.0 if nxt.islower() or nxt in "—–-" else 4.0
-    if closed:
-        return -5.0 if nxt.islower() or (nxt in "—–-" and follow[1:2].isspace()) else 4.0
-    tail = WORD_BEFORE.search(before)
-    word = (tail[1] if tail else "").lstrip("'’‘*").lower()
-    cased = nxt.isupper() or nxt.islower()
-    # the words before, for abbreviations of two words: "z. B", "т. е", "p. ex"
-    if word in FINAL and word not in ("x", "χ"):
-        return -4.0 if nxt.islower() or nxt.isdigit() and word not in ("etc", "usw", "a.m", "p.m") else 2.0
-    if word in ABBREVIATIONS:
-        return -6.0
-    if len(word) == 1 and word.isalpha():
-        return -5.0 if cased or nxt.isdigit() or not word.isascii() else 1.0
-    if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", word):
-        return -5.0 if nxt.islower() or nxt.isdigit() else 1.5
-    if word.isdigit() and len(word) <= 2:
-        opener = re.match(r"[^\W\d_]+", follow)
-        if (opener and opener[0].lower() in ORDINAL_NEXT) or nxt.islower():
-            return -6.0
-        if before[: m.start() - len(word)].rstrip(" \t*").endswith("\n") or before[:-len(word)].strip() == "":
-            return -4.0  # the number of a list line
-    if nxt in "—–-" and follow[1:2].isspace():
-        return -2.0
-    return 3.5
-
-
-def _length(n: int) -> float:
-    """Spans of a few characters and of many hundreds are less likely."""
-    return -1.5 if n < 3 else 0.0 if n <= 400 else -0.5 * (n - 400) / 400
-
-
-def _paragraph(text: str, base: int) -> Iterator[tuple[int, int]]:
-    depth = _depths(text)
+        return 4.0 + max(opens, -2.0) if nxt.isupper() else 3.0 + opens if cased or not nxt.isalnum() else 7.0
+    last = _word_before(text, at)
+    if last.isdigit() and len(last) < 3 and word.lower() in ORDINAL_NEXT:
+        return None
+    closes = model.closing(last)
+    if nxt.isupper() and model.may_end(last):
+        closes = max(closes, 1.0)
+    # behind a word that is short for nothing, what is all in small letters or without case opens as well
+    return closes + (max(opens, -2.0) if cased or nxt.isalpha() else opens)
+
+
+def _paragraph(text: str, lo: int, hi: int, model: SpanModel) -> Iterator[tuple[int, int]]:
+    change, closes = _quotes(text, lo, hi)
     cuts: dict[int, float] = {}
-    for m in CANDIDATE.finditer(text):
-        if m.end() < len(text):
-            cuts[m.end()] = _closing(text, m)
-    for m in THAI_GAP.finditer(text):
+    for m in CANDIDATE.finditer(text, lo, hi):
+        stop = m.end()
+        while stop > m.start() + 1 and text[stop - 1] in "“\"" and stop - 1 not in closes:
+            stop -= 1  # it opens what follows
+        if stop < hi and (score := _cut(text, m, stop, hi, model)) is not None:
+            cuts[stop] = score
+    for m in THAI_GAP.finditer(text, lo, hi):
         cuts[m.start()] = max(cuts.get(m.start(), 2.0), 2.0)
     forced = set()
-    start = 0
-    for line in text.split("\n"):
-        end = start + len(line)
-        if end < len(text):
-            rest = text[end + 1 :]
-            body, nxt = line.strip(), rest.lstrip()[:1]
-            if BULLET.match(rest.lstrip(" \t ")) and not rest.lstrip()[:1].isdigit():
+    start = lo
+    while (end := text.find("\n", start, hi)) >= 0:
+        rest = text[end + 1 : min(hi, end + 1 + WINDOW)].lstrip(" \t ")
+        listed, item, last = BULLET.match(rest), BULLET.match(text[start : start + WINDOW].lstrip()), text[start:end].rstrip()[-1:]
+        if listed and not rest[:1].isdigit():
+            forced.add(end)
+        elif item:
+            if not rest.lstrip()[:1].islower():
                 forced.add(end)
-            elif BULLET.match(body):
-                if not nxt.islower():
-                    forced.add(end)
-            elif BULLET.match(rest.lstrip(" \t ")) and (body[-1:] in SOFT + STRONG + ":" or BULLET.match(body)):
-                forced.add(end)
-            elif end not in cuts and body and "฀" <= body[-1] <= "႟" and "฀" <= nxt <= "႟":
-                cuts[end] = 2.0
+        elif listed and last and last in SOFT + STRONG + ":":
+            forced.add(end)
+        elif end not in cuts and "฀" <= last <= "႟" and "฀" <= rest.lstrip()[:1] <= "႟":
+            cuts[end] = 2.0
         start = end + 1
-    points = sorted(p for p in {0, len(text), *forced, *(p for p, s in cuts.items() if s > -6.0)})
-    best, back = [0.0] + [float("-inf")] * (len(points) - 1), [0] * len(points)
-    floor = 0  # no span crosses a forced cut
-    for j in range(1, len(points)):
-        close = 0.0 if points[j] in forced or points[j] == len(text) else cuts[points[j]]
-        if points[j] != len(text) and points[j] not in forced and depth[points[j] - 1] > 0:
-            close -= 8.0  # a quote or bracket is open here
-        first = floor if j == len(points) - 1 or points[j] in forced else max(floor, j - REACH)
-        for i in range(first, j):
-            score = best[i] + close + _length(points[j] - points[i])
-            if score > best[j]:
-                best[j], back[j] = score, i
-        if points[j] in forced:
-            floor = j
-    chain, j = [], len(points) - 1
-    while j > 0:
-        chain.append((points[back[j]], points[j]))
-        j = back[j]
-    for a, b in reversed(chain):
-        piece = text[a:b]
-        left, right = a + len(piece) - len(piece.lstrip()), a + len(piece.rstrip())
-        if left < right:
-            yield base + left, base + right
+    # a span that opens or ends inside a quotation does not balance
+    if change:
+        marks, depth, k = sorted(change), 0.0, 0
+        for p in sorted(cuts):
+            while k < len(marks) and marks[k] < p:
+                depth += change[marks[k]]
+                k += 1
+            if depth > 1e-9:
+                cuts[p] -= 8.0 * depth
+    yield from _divide(text, lo, hi, cuts, forced, model)
 
 
-BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
+def _divide(text: str, lo: int, hi: int, cuts: dict[int, float], forced: set[int], model: SpanModel) -> Iterator[tuple[int, int]]:
+    """The best spans. The sum changes by at most -2 * SHORTEST and at least SHORTEST with a cut, so scores beyond that are settled."""
+    sure = -2 * SHORTEST
+    points = sorted({hi, *forced, *(p for p, s in cuts.items() if s > SHORTEST or s >= sure)})
+    start, open_points = lo, []
+    for p in points:
+        if p != hi and p not in forced and cuts[p] < sure:
+            open_points.append(p)
+            continue
+        at = [start, *open_points, p]
+        if len(at) > 2:
+            at = _best(text, at, cuts, model)
+        for a, b in zip(at, at[1:]):
+            while a < b and text[a].isspace():
+                a += 1
+            while b > a and text[b - 1].isspace():
+                b -= 1
+            if a < b:
+                yield a, b
+        start, open_points = p, []
+
+
+def _best(text: str, points: list[int], cuts: dict[int, float], model: SpanModel) -> list[int]:
+    """The points of the division with the greatest sum. Spans past the table's last bin score alike, so one running maximum holds for them."""
+    table = model.length_table[0 if _spaced(text, points[-1]) else 1]
+    far, many = len(_BINS) - 1, len(points) > 64
+    by_length, at = np.asarray(table)[_BINS], np.asarray(points)
+    best, back = [0.0], [0]
+    sums = np.zeros(len(points))
+    tail, tail_at, k = float("-inf"), 0, 0  # the best of those further than ``far``
+    for j in range(1, len(points)):
+        p = points[j]
+        while k < j and p - points[k] > far:
+            if best[k] > tail:
+                tail, tail_at = best[k], k
+            k += 1
+        top, arg = tail + table[-1], tail_at
+        if many:
+            near = sums[k:j] + by_length[p - at[k:j]]
+            if near.size and near.max() > top:
+                arg = k + int(near.argmax())
+                top = float(near[arg - k])
+        else:
+            for i in range(k, j):
+                score = best[i] + table[_bin(p - points[i])]
+                if score > top:
+                    top, arg = score, i
+        best.append(top + cuts.get(p, 0.0) if j < len(points) - 1 else top)
+        sums[j] = best[j]
+        back.append(arg)
+    chain, j = [points[-1]], len(points) - 1
+    while j:
+        j = back[j]
+        chain.append(points[j])
+    return chain[::-1]
 
 
-def sentence_spans(text: str) -> list[tuple[int, int]]:
+def sentence_spans(text: str, model: SpanModel | None = None) -> list[tuple[int, int]]:
     """(start, end) of the sentence units of ``text``, in code points, end exclusive.
 
     Empty and blank texts have none. A paragraph without any mark is one unit, however long.
     """
+    model = model or SpanModel()
     out: list[tuple[int, int]] = []
     at = 0
     text = text.replace("\r", "\n") if "\r" in text else text
     for m in [*BLANK.finditer(text), None]:
         end = m.start() if m else len(text)
-        if text[at:end].strip():
-            out.extend(_paragraph(text[at:end], at))
+        if end > at:
+            out.extend(_paragraph(text, at, end, model))
         at = m.end() if m else end
     return out
 
 
-def sentences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
+def sentences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False, model: SpanModel | None = None) -> DataFrame:
     """(doc_id, start_pos, end_pos[, sentence]) for every document; null texts have no units.
 
-    Repeated rows give repeated units; columns beside the two named ones are ignored.
+    ``model`` is fitted on ``docs`` where none is given. Repeated rows give repeated units; columns beside
+    the two named ones are ignored.
     """
+    rows = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    model = model or SpanModel.fit(rows)
+    # KINDS * SLOTS floats, always
+    sent = docs.sparkSession.sparkContext.broadcast((model.counts, model.length_table))
     schema = "doc_id long, start_pos long, end_pos long" + (", sentence string" if with_text else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = SpanModel(sent.value[0])
+        at.length_table = sent.value[1]
         for pdf in batches:
             rows = []
             for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
                 if t:
-                    rows += [(i, a, b, t[a:b]) if with_text else (i, a, b) for a, b in sentence_spans(t)]
+                    rows += [(i, a, b, t[a:b]) if with_text else (i, a, b) for a, b in sentence_spans(t, at)]
             yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "end_pos"] + ["sentence"] * with_text)
 
-    return docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)

@@ -327,7 +327,8 @@ def test_alignment_scores():
     ("Dr. Kalo moved 3.5 files to approx. 9 sites. St. Rin holds maps, etc. from there. It closed at 9.30 a.m. The end", ["Dr. Kalo moved 3.5 files to approx. 9 sites.", "St. Rin holds maps, etc. from there.", "It closed at 9.30 a.m.", "The end"]),
     ("“We split it. It was late,” wrote Kalo. “Is it empty?” asked Rin.", ["“We split it. It was late,” wrote Kalo.", "“Is it empty?” asked Rin."]),
     ("Prof. Kalo kam am 12. März um 9.30 Uhr. „Alles ist gut. Ja“, schrieb Rin.", ["Prof. Kalo kam am 12. März um 9.30 Uhr.", "„Alles ist gut. Ja“, schrieb Rin."]),
-    ("「もう保存した。心配ない。」とKaloは書いた。棚は空だ！", ["「もう保存した。心配ない。」とKaloは書いた。", "棚は空だ！"]), ("“签名检查了吗？”Kalo问道。文件data-5.gz已保存……没有人知道。", ["“签名检查了吗？”Kalo问道。", "文件data-5.gz已保存……", "没有人知道。"]),
+    ("「もう保存した。心配ない。」とKaloは書いた。棚は空だ！", ["「もう保存した。心配ない。」とKaloは書いた。", "棚は空だ！"]), ("小的校刊。“目录比较了吗？”Kalo问道。已移动……“书库？”", ["小的校刊。", "“目录比较了吗？”Kalo问道。", "已移动……", "“书库？”"]),
+    ("“签名检查了吗？”Kalo问道。文件data-5.gz已保存……没有人知道。", ["“签名检查了吗？”Kalo问道。", "文件data-5.gz已保存……", "没有人知道。"]),
     ("Heading\n\n- one\n* two\n• three\n\nA line that\nwraps here. Next.", ["Heading", "- one", "* two", "• three", "A line that\nwraps here.", "Next."]),
     ("मिले। कितना नया पत्र!", ["मिले।", "कितना नया पत्र!"]), ("Πού βρίσκεται; Εδώ.", ["Πού βρίσκεται;", "Εδώ."]), ("แฟ้มอยู่ที่ไหน ไม่มีใครย้าย 3 ชิ้น", ["แฟ้มอยู่ที่ไหน", "ไม่มีใครย้าย 3 ชิ้น"]),
     ("В 2021 г. том был издан. «Где том?» — спросил Kalo.Как пишет Rin, нет.", ["В 2021 г. том был издан.", "«Где том?» — спросил Kalo.", "Как пишет Rin, нет."]), ("", []), (" \n\t ", []),
@@ -338,6 +339,53 @@ def test_sentences(text, want):
     assert [text[a:b] for a, b in sentence_spans(text)] == want
 
 
+def _fitted(texts):
+    from collections import Counter
+
+    from skeinlake.llm import sentences as S
+
+    met, lengths = [Counter() for _ in range(S.KINDS)], np.zeros(S.LENGTHS)
+    for t in texts:
+        S.observe(t, met, lengths)
+    counts = np.zeros((S.KINDS, S.SLOTS), np.float32)
+    for kind, words in enumerate(met):
+        for w, n in words.items():
+            counts[kind, S._slot(w)] += n
+    return S.SpanModel(counts, lengths)
+
+
+def test_sentence_words_are_learned():
+    """An opening word in small letters, an abbreviation of no list, and a closing word of few letters."""
+    corpus = [f"tooly v{n} sorted box {n}.\n\nThe Zk. Lumen {n} came, it saw tooly not.\n\nThen Zk. Marin {n} went past so long ago." for n in range(40)]
+    text = "What a box! tooly v2 sorted it. There Zk. Bodo was. That was ago.Then it ended."
+    want = ["What a box!", "tooly v2 sorted it.", "There Zk. Bodo was.", "That was ago.", "Then it ended."]
+    model = _fitted(corpus)
+    assert [text[a:b] for a, b in sentence_spans(text, model)] == want
+    assert [text[a:b] for a, b in sentence_spans(text)] != want
+
+
+def test_sentence_division_is_the_best_of_all():
+    """The dynamic programming against every division, with cuts that only the lengths of their spans decide."""
+    from itertools import combinations
+
+    from skeinlake.llm import sentences as S
+
+    rng, model, joint = random.Random(4), S.SpanModel(), 0
+    for _ in range(60):
+        n = rng.randrange(2, 9)
+        at = sorted(rng.sample(range(1, 900), n))
+        text = "x" * 900
+        cuts = {p: rng.uniform(-2, 2) for p in at}
+        value = lambda ends: sum(cuts[p] for p in ends) + sum(model.length(b - a, True) for a, b in zip((0, *ends), (*ends, 900), strict=True))
+        best = max((c for k in range(n + 1) for c in combinations(at, k)), key=value)
+        got = [b for _, b in S._divide(text, 0, 900, cuts, set(), model)][:-1]
+        assert abs(value(tuple(got)) - value(best)) < 1e-9
+        joint += list(best) != [p for p in at if cuts[p] > 0]
+    assert joint > 10
+    far = S._best("x" * 20000, list(range(0, 20001, 10)), dict.fromkeys(range(0, 20001, 10), 0.3), model)
+    assert far[0] == 0 and far[-1] == 20000
+
+
 def test_sentences_cover_all_text(spark):
     rng = random.Random(10)
     texts = ["".join(rng.choice("ab .!?“”\n\r(),。」Äж") for _ in range(rng.randrange(200))) for _ in range(200)] + [None, "", "x" * 200000, "word " * 30000 + ".", "(" * 3000]
