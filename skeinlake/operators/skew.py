@@ -1,8 +1,9 @@
 """Per-key results where a few keys hold most rows (problem 4).
 
-A tree instead of one reducer a key: rows fall into fixed-size chunks of their input partition,
-each map task combines its chunks, and the states meet in rounds of ``fan_in``. No reducer gets
-more than ``fan_in`` states of a key in one round, however many rows the key has.
+A tree instead of one reducer a key. The chunks are the input's partitions, whose size the scan fixes:
+each map task combines its own rows to one state a key. Then ``fan_in`` neighbouring chunks meet, then
+``fan_in`` of those, until one state a key is left, so the rounds are logarithmic in the input and no
+reducer gets more than ``fan_in`` states of a key, however many rows the key has.
 """
 
 from __future__ import annotations
@@ -12,31 +13,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 1 << 16
 FAN_IN = 16
-LEAVES = FAN_IN**2
-
-
-def chunk_id(leaves: int = LEAVES, chunk_rows: int = CHUNK_ROWS) -> Column:
-    """Leaf of the tree: the row's chunk of its input partition, folded to ``leaves`` leaves."""
-    row = F.monotonically_increasing_id()
-    part, ordinal = F.shiftright(row, 33), row.bitwiseAND(F.lit((1 << 33) - 1))
-    return F.pmod(part * 31 + F.shiftright(ordinal, chunk_rows.bit_length() - 1), F.lit(leaves)).cast("int")
 
 
 def tree_aggregate(df: DataFrame, keys: list[str], first: dict[str, Column], merge: dict[str, Callable[[str], Column]],
-                   leaf: Column | None = None, leaves: int = LEAVES, fan_in: int = FAN_IN) -> DataFrame:
-    """``first`` makes the states of the leaves, ``merge`` combines states; one row a key comes out.
+                   chunks: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
+    """``first`` makes the state of a chunk, ``merge`` combines states; one row a key comes out.
 
-    Rounds: log(leaves) to the base ``fan_in``, then the root. Null keys form a group of their own, as in
-    GROUP BY; an empty input gives no row.
+    ``chunks`` is the number of partitions of ``df``, at most; it is asked of ``df`` where it is not given, which
+    costs nothing for scans. Null keys form a group of their own, as in GROUP BY; an empty input gives no row.
     """
-    at = df.withColumn("__leaf", leaf if leaf is not None else chunk_id(leaves)).groupBy(*keys, "__leaf").agg(*[c.alias(n) for n, c in first.items()])
-    width = leaves
-    while width > fan_in:
-        width = -(-width // fan_in)
-        at = at.groupBy(*keys, F.floor(F.col("__leaf") / fan_in).cast("int").alias("__leaf")).agg(*[m(n).alias(n) for n, m in merge.items()])
-    return at.groupBy(*keys).agg(*[m(n).alias(n) for n, m in merge.items()])
+    nodes = -(-max(chunks or df.rdd.getNumPartitions(), 1) // fan_in)
+    at = df.withColumn("__node", F.floor(F.spark_partition_id() / fan_in).cast("int")).groupBy(*keys, "__node").agg(*[c.alias(n) for n, c in first.items()])
+    while nodes > 1:
+        up = F.floor(F.col("__node") / fan_in).cast("int")
+        nodes = -(-nodes // fan_in)
+        at = at.groupBy(*keys, up.alias("__node")).agg(*[m(n).alias(n) for n, m in merge.items()])
+    return at.drop("__node")
 
 
 def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,7 +41,7 @@ def key_statistics(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_rows, first_ts, last_ts, n_digests), all exact.
 
     Distinct digests are counted by making the digest part of the first grouping, which spreads
-    a heavy key over its digests; leaves are then cut by digest, so that partial counts add up.
+    a heavy key over its digests; each digest is then in one chunk, so that partial counts add up.
     ``ts_raw`` is compared as text; nulls in it or in ``digest`` are skipped, the rows still count.
     """
     by_digest = df.select(*keys, "digest", "ts_raw").groupBy(*keys, "digest").agg(
@@ -57,7 +50,7 @@ def key_statistics(df: DataFrame, keys: list[str]) -> DataFrame:
         by_digest, keys,
         {"n_rows": F.sum("n"), "first_ts": F.min("lo"), "last_ts": F.max("hi"), "n_digests": F.count("digest")},
         {"n_rows": F.sum, "first_ts": F.min, "last_ts": F.max, "n_digests": F.sum},
-        leaf=F.pmod(F.xxhash64("digest"), F.lit(LEAVES)).cast("int"),
+        chunks=int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
     )
 
 
