@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinlake.llm.garble import SUSPECT, plain_restore
+from skeinlake.llm.garble import STARTS, SUSPECT, plain_restore
 from skeinlake.session import cut_lineage
 
 PARTS = re.compile(r"\s+[·|/>»›•]\s+|\s*[|｜]\s*")
@@ -53,7 +53,7 @@ def _hash(s: str) -> int:
 def skeleton(line: str) -> str | None:
     """A line without its names and numbers, but with its first word where little else is left; None where nothing is."""
     s = DIGITS.sub("0", NAME.sub("*", line))
-    if len(PLAIN.findall(s)) >= 2:
+    if (one := PLAIN.search(s)) and PLAIN.search(s, one.end()):
         return s
     head, _, rest = line.partition(" ")
     s = head + " " + DIGITS.sub("0", NAME.sub("*", rest))
@@ -68,7 +68,7 @@ def line_kind(line: str) -> int:
 
 def page_tree(text: str, site: str) -> tuple[list[int], list[int], list[int], list[int], list[list[int]], list[int]]:
     """(line numbers, signatures, skeletons, kinds, parts, lengths) of the non-empty lines; the length is 0 where a signature is repeated."""
-    if not text.isascii() and SUSPECT.search(text):
+    if not text.isascii() and STARTS.search(text) and SUSPECT.search(text):
         fixed = plain_restore(text)
         if fixed is not None and fixed.count("\n") == text.count("\n"):
             text = fixed

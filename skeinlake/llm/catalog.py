@@ -39,19 +39,22 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return residue_fields(_wide(spark, d, "wacz_pages", *PAGE)).select(F.col("id").alias("page_id"), "field").distinct()
 
 
-def _content_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages whose text is no case of problem 6."""
+def _content_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(pages whose text is no case of problem 6, ids of the others)."""
     pages = _wide(spark, d, "wacz_pages", *PAGE)
-    residue = residue_fields(pages.select("page_id", "title", "text")).where(F.col("field") == "text").select(F.col("id").alias("page_id")).distinct()
-    return pages.select("page_id", "url", "text").join(residue, "page_id", "left_anti")
+    residue = residue_fields(pages.select("page_id", "title", "text"), ("text",), counted=("title", "text")).select(F.col("id").alias("page_id")).distinct()
+    return pages.select("page_id", "url", "text").join(residue, "page_id", "left_anti"), residue
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate_lines(_content_pages(spark, d)).distinct()
+    return boilerplate_lines(_content_pages(spark, d)[0]).distinct()
 
 
 def p7_bodies(spark: SparkSession, d: str) -> DataFrame:
-    return main_body(_content_pages(spark, d))
+    """Main bodies; pages whose text is a case of problem 6 keep it whole and are marked ``is_residue``."""
+    pages, residue = _content_pages(spark, d)
+    kept = table(spark, d, "wacz_pages").select("page_id", F.col("text").alias("body")).join(residue, "page_id", "left_semi")
+    return main_body(pages).withColumn("is_residue", F.lit(False)).unionByName(kept.withColumn("is_residue", F.lit(True)))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ to the executors doesn't grow with the data.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 
@@ -192,10 +193,9 @@ def maximum_segments(scores: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _as_bytes(run: str, encoding: str) -> bytes | None:
-    table = _TO_BYTE[encoding]
     try:
-        return bytes(table[ord(c)] for c in run)
-    except KeyError:
+        return codecs.charmap_encode(run, "strict", _TO_BYTE[encoding])[0]
+    except UnicodeEncodeError:
         return None
 
 
@@ -327,27 +327,42 @@ def restore_texts(texts: list[str | None], model: PairModel, restore: bool = Tru
     return out
 
 
+PLAIN = READINGS[:6]
+_LONG = re.compile(r"[^\x00-\x7f]{2,}")
+#: Which readings show a character for a byte that begins, or continues, a sequence of UTF-8.
+_LEADS: dict[str, int] = {}
+_TAILS: dict[str, int] = {}
+for _k, _e in enumerate(PLAIN):
+    for _c, _b in _TO_BYTE[_e].items():
+        for _of, _lo, _hi in ((_LEADS, 0xC2, 0xF4), (_TAILS, 0x80, 0xBF)):
+            if _lo <= _b <= _hi:
+                _of[chr(_c)] = _of.get(chr(_c), 0) | 1 << _k
+STARTS = re.compile("[" + re.escape("".join(_LEADS)) + "][" + re.escape("".join(_TAILS)) + "]")
+
+
 def plain_restore(text: str) -> str | None:
     """``text`` with every non-ASCII run that is strict UTF-8 under some reading put right, without statistics; None if there is none."""
     changed = False
+    if not STARTS.search(text):
+        return None
 
     def fix(m: re.Match) -> str:
         nonlocal changed
-        for e in READINGS[:6]:
-            raw = _as_bytes(m[0], e)
-            if raw and len(raw) > 1:
+        run = m[0]
+        may = _LEADS.get(run[0], 0) & _TAILS.get(run[1], 0)
+        for k, e in enumerate(PLAIN) if may else ():
+            if may >> k & 1 and (raw := _as_bytes(run, e)):
                 try:
                     got = raw.decode("utf-8")
                 except UnicodeDecodeError:
                     continue
                 changed = True
                 return got
-        return m[0]
+        return run
 
-    out = re.sub(r"[^\x00-\x7f]+", fix, text)
+    out = _LONG.sub(fix, text)
     if changed and SUSPECT.search(out):  # decoded wrongly twice
-        changed = False
-        return re.sub(r"[^\x00-\x7f]+", fix, out)
+        return _LONG.sub(fix, out)
     return out if changed else None
 
 

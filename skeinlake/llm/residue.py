@@ -17,57 +17,76 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Labelled exemplars. "*" is a slot: a name, host, path or number that differs from page to page.
+# Labelled exemplars: messages of common servers, systems and page builders. "*" is a slot: a name, host, path or number
+# that differs from page to page.
 EXEMPLARS = {
     "error": (
         "404 Not Found", "403 Forbidden", "502 Bad Gateway", "Error 503 Service Unavailable", "500 Internal Server Error", "HTTP Status 500 – Internal Server Error",
-        "Page not found", "Not Found", "Service unavailable", "Access denied", "Forbidden", "Bad Gateway", "Error: no database", "Error establishing a database connection",
-        "java.lang.NullPointerException at example * Handler line *", "Fatal error uncaught exception in * line *",
-        "Warning: include(): failed opening *", "Warning: include( * .inc): failed to open stream: No such file, line *", "Warning: include(*): failed to open stream: no such file or directory in * on line *",
-        "The page you asked for on * could not be found.", "Check the address or return to the start page.", "The requested URL * was not found on this server.",
-        "Error *: no such document", "You do not have permission to open * here.", "You do not have permission to access * on this server", "Reference # * . *", "Bad gateway. The upstream * sent no valid answer. Request no. *", "Fatal error: cannot connect to database * in * on line *",
-        "Oops! We looked in every drawer of * but this page is gone.", "This account has been suspended.", "Contact the billing desk of * with ticket *.",
-        "* is down for maintenance. We will be back within * minutes.", "Slow down, please. Limit of * calls per hour on * reached.", "Too many requests",
-        "* refuses requests from your network. Rule *", "Your session has expired. Please sign in to * again. Code *", "Index of *",
-        "Ihre Sitzung ist abgelaufen. Bitte melden Sie sich bei * erneut an. Code *", "Die Seite * gibt es auf * nicht mehr.", "Fehler *", "Seite nicht gefunden", "Zugriff verweigert",
-        "Désolé, la page * n’existe pas ou plus sur *.", "Page introuvable", "Accès refusé", "Lo sentimos: no existe ninguna página * en *. Código *", "Página no encontrada", "Acceso denegado",
-        "Página não encontrada", "Desculpe, a página * não existe em *.", "Ошибка *. Страница * на * не существует.", "Страница не найдена", "Доступ запрещён",
-        "ページが見つかりません", "*に*は存在しません。", "页面未找到", "找不到页面", "您访问的页面*不存在", "抱歉，*上没有*这个页面。错误*",
+        "Page not found", "Not Found", "Service unavailable", "Access denied", "Forbidden", "Bad Gateway", "Error establishing a database connection", "Too many requests",
+        "Warning: include(): failed opening *", "Warning: include(*): failed to open stream: no such file or directory in * on line *", "The requested URL * was not found on this server.",
+        "You do not have permission to access * on this server", "Reference # * . *", "This account has been suspended.", "Index of *", "Fehler *",
+        "Seite nicht gefunden", "Zugriff verweigert", "Page introuvable", "Accès refusé", "Página no encontrada", "Acceso denegado", "Página não encontrada",
+        "Страница не найдена", "Доступ запрещён", "ページが見つかりません", "页面未找到", "找不到页面", "您访问的页面*不存在",
     ),
     "script": (
-        "Please enable JavaScript to view *.", "This application needs scripts. Build *", "You need to turn on scripts in your browser to run * *.", "You need to enable JavaScript to run this app.",
-        "Your browser is not supported. * runs only with scripting switched on; version *.", "Checking that you are not a robot before opening *.", "This needs cookies and JavaScript. Ray *",
-        "Loading * …", "If nothing happens, your browser may be blocking scripts (*).", "Just a moment... Checking your browser before accessing *", "JavaScript is disabled in your browser",
-        "Bitte aktivieren Sie JavaScript, um * zu nutzen. (*)", "Pour afficher *, activez JavaScript puis rechargez. (*)", "Active JavaScript para ver *.", "Ative o JavaScript para ver *.",
-        "Активируйте JavaScript, чтобы открыть * (*).", "*を表示するにはJavaScriptを有効にしてください (*)", "请启用JavaScript以查看* (*)",
+        "Please enable JavaScript to view *.", "You need to enable JavaScript to run this app.", "Just a moment... Checking your browser before accessing *", "JavaScript is disabled in your browser", "Loading * …",
+        "Bitte aktivieren Sie JavaScript, um * zu nutzen.", "Activez JavaScript puis rechargez la page.", "Active JavaScript para ver *.", "Ative o JavaScript para ver *.",
+        "*を表示するにはJavaScriptを有効にしてください", "请启用JavaScript以查看*",
     ),
     "filler": (
-        "Lorem ipsum dolor", "Placeholder paragraph", "Untitled template *", "Sample page.", "Content coming soon.", "Heading *", "Text here", "Insert image", "Your text here", "Click here to edit this text",
+        "Lorem ipsum dolor", "Sample page.", "Content coming soon.", "Text here", "Insert image", "Your text here", "Click here to edit this text",
         "Under construction", "Hello world! Welcome to your first post.", "Blindtext", "Texte de remplissage", "Texto de relleno", "Your * goes here",
     ),
 }
-# Words of filler passages.
-FILLER_WORDS = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco "
-    "laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt "
-    "culpa qui officia deserunt mollit anim id est laborum velo marun tepid egetas vitae vel pretio augur placer tellin semper luctor sodal morbi donek massa urna portam alta ornat nimis cursus fusce".split()
+# Exemplars labelled on pages of this project (sf0.1): what is common there and in no public list. Other collections
+# bring their own through the parameter ``exemplars``.
+PROJECT_EXEMPLARS = {
+    "error": (
+        "Error: no database", "java.lang.NullPointerException at example * Handler line *", "Fatal error uncaught exception in * line *", "Warning: include( * .inc): failed to open stream: No such file, line *",
+        "The page you asked for on * could not be found.", "Check the address or return to the start page.", "Error *: no such document", "You do not have permission to open * here.",
+        "Bad gateway. The upstream * sent no valid answer. Request no. *", "Fatal error: cannot connect to database * in * on line *", "Oops! We looked in every drawer of * but this page is gone.",
+        "Contact the billing desk of * with ticket *.", "* is down for maintenance. We will be back within * minutes.", "Slow down, please. Limit of * calls per hour on * reached.",
+        "* refuses requests from your network. Rule *", "Your session has expired. Please sign in to * again. Code *", "Ihre Sitzung ist abgelaufen. Bitte melden Sie sich bei * erneut an. Code *",
+        "Die Seite * gibt es auf * nicht mehr.", "Désolé, la page * n’existe pas ou plus sur *.", "Lo sentimos: no existe ninguna página * en *. Código *", "Desculpe, a página * não existe em *.",
+        "Ошибка *. Страница * на * не существует.", "*に*は存在しません。", "抱歉，*上没有*这个页面。错误*",
+    ),
+    "script": (
+        "This application needs scripts. Build *", "You need to turn on scripts in your browser to run * *.", "Your browser is not supported. * runs only with scripting switched on; version *.",
+        "Checking that you are not a robot before opening *.", "This needs cookies and JavaScript. Ray *", "If nothing happens, your browser may be blocking scripts (*).",
+        "Bitte aktivieren Sie JavaScript, um * zu nutzen. (*)", "Pour afficher *, activez JavaScript puis rechargez. (*)", "Активируйте JavaScript, чтобы открыть * (*).",
+        "*を表示するにはJavaScriptを有効にしてください (*)", "请启用JavaScript以查看* (*)",
+    ),
+    "filler": ("Placeholder paragraph", "Untitled template *", "Heading *"),
+}
+# Filler passages of any order of words: the classical one, and the one of this project's pages.
+PASSAGES = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation "
+    "ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint "
+    "occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.",
 )
+PROJECT_PASSAGES = (PASSAGES[0] + " velo marun tepid egetas vitae vel pretio augur placer tellin semper luctor sodal morbi donek massa urna portam alta ornat nimis cursus fusce",)
+# Exemplars of unfilled placeholders, by the marks that open them. They hold no words of their own, so the marks are
+# their entries in the index.
+PLACEHOLDERS = {
+    "{{": r"\{\{[^{}\n]+\}\}", "${": r"\$\{[^{}\n]+\}", "#{": r"#\{[^{}\n]+\}", "{%": r"\{%[^%\n]+%\}", "<?": r"<\?=?[^?\n]+\?>", "<%": r"<%=?[^%\n]+%>", "[[": r"\[\[[A-Za-z_][\w.]*\]\]",
+    "[": r"\[(?:INSERT|insert|Insert)\b[^\]\n]+\]|\[[a-z]+(?:[_.][a-z]+)+\]|\[[a-zA-Z]{3,24}\]", "@@": r"@@[\w.]{2,}?@@", "__": r"__[A-Za-z][\w.]+?__", "%": r"%[A-Za-z][A-Za-z_.]{2,}%",
+    "{0}": r"\{0\}(?: ?\{1\})?", "TODO": r"\bTODO: write \w+", "goes here": r"\bYour [a-z_.]{3,30} goes here\b", "XXX": r"\bXXX+\b", "TBD": r"\bTBD\b",
+}
 
 WORD = re.compile(r"[^\W\d_぀-ヿ㐀-鿿가-힯]+|[぀-ヿ㐀-鿿가-힯]|\d+")
 #: Hosts and paths are slots wherever they stand.
 SLOT = re.compile(r"(?:[\w\-]+\.)+(?:test|example|invalid|localhost|[a-z]{2,4})(?![A-Za-z0-9])(?:/[!-~]*)?|/[A-Za-z0-9_\-/.%]+", re.IGNORECASE | re.ASCII)
-PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|[$#]\{[^{}\n]{1,60}\}|\{%[^%\n]{1,60}%\}|<\?=?[^?\n]{1,60}\?>|<%=?[^%\n]{1,60}%>|\[\[[A-Za-z_][\w.]{0,40}\]\]|\[(?:INSERT|insert|Insert)\b[^\n]{1,80}\]"
-    r"|\[[a-z]+(?:[_.][a-z]+)+\]|\[[a-zA-Z]{3,24}\]|@@[\w.]{2,40}@@|__[A-Za-z][\w.]{1,40}?__|%[A-Za-z][A-Za-z_.]{2,40}%|\{0\}(?: ?\{1\})?|\bTODO: write \w+|\bYour [a-z_.]{3,30} goes here\b|\bXXX+\b|\bTBD\b"
-)
+PLACEHOLDER = {mark: re.compile(body) for mark, body in PLACEHOLDERS.items()}
 #: What every placeholder has.
-MARKS = re.compile(r"[{%@\[]|<[?%]|__|TODO|XXX|TBD|goes here")
+MARKS = re.compile("|".join(re.escape(m) for m in PLACEHOLDERS))
 SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 #: Where a sentence, a line or a part of a menu ends.
 BOUND = re.compile(r"[\n。！？|｜·•>»›]|[.!?…](?=\s|$)|\s[–—/-]\s")
 QUOTED = re.compile(r"“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]|「[^」\n]*」|\"[^\"\n]*\"|`[^`\n]*`")
 #: An exemplar of as many words is a notice wherever it stands; two East Asian characters are a word.
 FREE_WORDS = 5
+#: Words of a window of a filler passage, or of a shorter field, and the least number of its words in it.
+PASSAGE_WORDS, PASSAGE_LEAST = 8, 5
 #: Placeholders between quotes or code marks are quoted, and variables of a shell are its own.
 MENTION = re.compile(r"[`'\"“”‘’«»„「」]\s*$")
 ENVIRONMENT = re.compile(r"[$#]\{?(?:HOME|PATH|USER|SHELL|PWD|LANG|TMPDIR|EDITOR|HOSTNAME|TERM)\b")
@@ -75,33 +94,38 @@ BRACKET_WORDS = frozenset(("sic", "edit", "note", "map", "pdf", "video", "audio"
 
 
 def words(text: str) -> list[str]:
-    return [w.lower() for w in WORD.findall(text)]
+    return WORD.findall(text.lower())
 
 
-def _exemplar_words() -> list[tuple[str, Counter, int]]:
-    out = []
-    for label, texts in EXEMPLARS.items():
-        for t in texts:
-            w = [x for x in words(t) if not x.isdigit() or x in ("404", "403", "500", "502", "503")]
-            out.append((label, Counter(w), t.count("*")))
-    return out
+class Exemplars:
+    """Labelled exemplars and filler passages with the words that the index holds."""
 
+    def __init__(self, labelled: tuple[dict[str, tuple[str, ...]], ...] = (EXEMPLARS, PROJECT_EXEMPLARS), passages: tuple[str, ...] = PASSAGES + PROJECT_PASSAGES):
+        self.rows: list[tuple[str, Counter, int]] = []
+        for group in labelled:
+            for label, texts in group.items():
+                for t in texts:
+                    w = [x for x in words(t) if not x.isdigit() or x in ("404", "403", "500", "502", "503")]
+                    self.rows.append((label, Counter(w), t.count("*")))
+        self.passages = [frozenset(words(p)) for p in passages]
+        self.vocabulary = frozenset(w for _, c, _ in self.rows for w in c).union(*self.passages)
 
-VOCABULARY = frozenset(w for _, c, _ in _exemplar_words() for w in c) | FILLER_WORDS
+
+DEFAULT = Exemplars()
 
 
 class Retriever:
     """The exemplars behind an inverted index, weighted by how rare their words are in the corpus.
 
-    ``df`` has the document frequency of the words of VOCABULARY, whose size is fixed by the
-    exemplars, and ``n`` the number of documents.
+    ``df`` has the document frequency of the exemplars' words and ``n`` the number of documents.
     """
 
-    def __init__(self, df: dict[str, int], n: int, contained: float = 0.85, covered: float = 0.8):
-        self.weight = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 0.2 for w in VOCABULARY}
+    def __init__(self, df: dict[str, int], n: int, exemplars: Exemplars = DEFAULT, contained: float = 0.85, covered: float = 0.8):
+        self.vocabulary, self.passages = exemplars.vocabulary, exemplars.passages
+        self.weight = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 0.2 for w in self.vocabulary}
         self.unknown = math.log(n + 1) * 0.5 + 0.2  # a word outside the exemplars
         self.contained, self.covered = contained, covered
-        self.exemplars = _exemplar_words()
+        self.exemplars = exemplars.rows
         self.total = [sum(self.weight[w] * k for w, k in c.items()) for _, c, _ in self.exemplars]
         # the rarest words of each exemplar that weigh more than may be missing; a passage must have one of them
         self.index: dict[str, list[int]] = defaultdict(list)
@@ -134,7 +158,7 @@ class Retriever:
 
     def passage(self, text: str, among: list[int]) -> str | None:
         """Label of the exemplar in ``among`` that holds and covers ``text``, or None."""
-        got = Counter(w for w in words(SLOT.sub(" ", text)) if not w.isdigit() or w in VOCABULARY)
+        got = Counter(w for w in words(SLOT.sub(" ", text)) if not w.isdigit() or w in self.vocabulary)
         return next((self.exemplars[i][0] for i in among if got and self.accepts(i, got)), None)
 
     def window(self, text: str, among: list[int]) -> str | None:
@@ -145,7 +169,7 @@ class Retriever:
         between quotation marks is a mention.
         """
         text = SLOT.sub(" ", text)
-        spans = [(m.start(), m.end(), w) for m in WORD.finditer(text) if not (w := m[0].lower()).isdigit() or w in VOCABULARY]
+        spans = [(m.start(), m.end(), w) for m in WORD.finditer(text) if not (w := m[0].lower()).isdigit() or w in self.vocabulary]
         tokens = [w for _, _, w in spans]
         places: dict[str, list[int]] = defaultdict(list)
         for k, w in enumerate(tokens):
@@ -180,31 +204,44 @@ class Retriever:
         return None
 
     def filler(self, text: str) -> bool:
-        """Is some window of eight words made of filler words?"""
-        flags = [w in FILLER_WORDS for w in words(text)]
-        if len(flags) < 5:
-            return False
-        width = min(8, len(flags))
-        run = sum(flags[:width])
-        need = math.ceil(0.85 * width)
-        if run >= need:
-            return True
-        for i in range(width, len(flags)):
-            run += flags[i] - flags[i - width]
-            if run >= need:
-                return True
+        """Does a filler passage cover some window of ``text``, by the weight of its words?"""
+        found = words(text)
+        weight = [self.weight.get(w, self.unknown) for w in found]
+        width = min(PASSAGE_WORDS, len(found))
+        for passage in self.passages:
+            flags = [w in passage for w in found]
+            if sum(flags) < PASSAGE_LEAST:
+                continue
+            held, total, n = 0.0, 0.0, 0
+            for i, (f, x) in enumerate(zip(flags, weight, strict=True)):
+                total += x
+                held += x * f
+                n += f
+                if i >= width:
+                    total -= weight[i - width]
+                    held -= weight[i - width] * flags[i - width]
+                    n -= flags[i - width]
+                if i + 1 >= width and n >= min(PASSAGE_LEAST, width) and held >= self.contained * total:
+                    return True
         return False
 
-    def label(self, text: str) -> str | None:
-        """Label of a whole field, by its passages; None where it is content."""
-        if MARKS.search(text):
-            for m in PLACEHOLDER.finditer(text):
+    @staticmethod
+    def placeholder(text: str) -> bool:
+        """Does ``text`` hold an unfilled placeholder that is neither quoted nor a word in brackets?"""
+        for mark in set(MARKS.findall(text)) | ({"["} if "[" in text else set()):
+            for m in PLACEHOLDER[mark].finditer(text):
                 g = m[0]
                 if ENVIRONMENT.match(g) or MENTION.search(text[max(0, m.start() - 2) : m.start()]):
                     continue
                 if g[0] == "[" and g[1] != "[" and "_" not in g and "." not in g and not g[1:7].lower() == "insert" and (g[1:-1].lower() in BRACKET_WORDS or not _lone(text, m)):
                     continue
-                return "placeholder"
+                return True
+        return False
+
+    def label(self, text: str) -> str | None:
+        """Label of a whole field, by its passages; None where it is content."""
+        if MARKS.search(text) and self.placeholder(text):
+            return "placeholder"
         found = set(words(text))
         if among := self.candidates(found):
             for line in text.split("\n"):
@@ -219,7 +256,7 @@ class Retriever:
                             return label
             if label := self.window(text, among):
                 return label
-        if len(found & FILLER_WORDS) >= 5 and self.filler(text):
+        if any(len(found & p) >= PASSAGE_LEAST for p in self.passages) and self.filler(text):
             return "filler"
         return None
 
@@ -231,8 +268,8 @@ def _lone(text: str, m: re.Match) -> bool:
     return len(rest) <= 2 or (m[0].isupper() and len(rest) <= 4)
 
 
-def document_frequencies(fields: DataFrame) -> tuple[dict[str, int], int]:
-    """Document frequencies of VOCABULARY over all rows of all columns; one row a word comes back."""
+def document_frequencies(fields: DataFrame, vocabulary: frozenset[str] = DEFAULT.vocabulary) -> tuple[dict[str, int], int]:
+    """Document frequencies of ``vocabulary`` over all rows of all columns; one row a word comes back."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df: Counter = Counter()
@@ -240,7 +277,7 @@ def document_frequencies(fields: DataFrame) -> tuple[dict[str, int], int]:
             for c in pdf.columns:
                 for t in pdf[c]:
                     if t:
-                        df.update(VOCABULARY.intersection(words(t)))
+                        df.update(vocabulary.intersection(words(t)))
                         df[""] += 1
         yield pd.DataFrame({"word": list(df), "n": list(df.values())})
 
@@ -248,18 +285,19 @@ def document_frequencies(fields: DataFrame) -> tuple[dict[str, int], int]:
     return got, got.pop("", 0)
 
 
-def residue_fields(pages: DataFrame, fields: tuple[str, ...] = ("title", "text"), id_column: str = "page_id") -> DataFrame:
-    """(id, field, label) of every field that is or contains residue.
+def residue_fields(pages: DataFrame, fields: tuple[str, ...] = ("title", "text"), id_column: str = "page_id", exemplars: Exemplars = DEFAULT, counted: tuple[str, ...] | None = None) -> DataFrame:
+    """(id, field, label) of every one of ``fields`` that is or contains residue.
 
     Labels: placeholder, filler, error, script. Null and empty fields are no cases; each row is
-    judged by itself. Text that went through a wrong encoding is read both ways.
+    judged by itself. Text that went through a wrong encoding is read both ways. Words are counted in
+    ``counted``, by default in ``fields``.
     """
     from skeinlake.llm.garble import plain_restore
 
-    df, n = document_frequencies(pages.select(*fields))
+    df, n = document_frequencies(pages.select(*(counted or fields)), exemplars.vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = Retriever(df, n)
+        judge = Retriever(df, n, exemplars)
         for pdf in batches:
             rows = []
             for f in fields:
