@@ -276,18 +276,21 @@ def _plain(pdf: pd.DataFrame) -> Iterator[tuple]:
         yield i, host, nos.tolist(), sigs.tolist(), skeletons.tolist(), kinds.tolist(), [p.tolist() for p in parts]
 
 
+KNOWN = ("own", "lines", "parts_known", "bare", "heads")
+
+
 def _with_own(wrapper: Wrapper, pdf: pd.DataFrame) -> Iterator[tuple]:
-    """_plain, with the template that travels with a page put into the wrapper where there is one."""
-    owns = pdf["own"] if "own" in pdf else None
+    """_plain, with the known nodes that travel with a page put into the wrapper where they do."""
+    sets = {c: pdf[c] for c in KNOWN if c in pdf}
     for k, row in enumerate(_plain(pdf)):
-        if owns is not None:
-            own = owns.iloc[k]
-            wrapper.templates = {row[1]: set() if own is None else set(own.tolist())}
+        if sets:
+            own, wrapper.lines, wrapper.parts, wrapper.bare, wrapper.heads = (set() if c not in sets or sets[c].iloc[k] is None else set(sets[c].iloc[k].tolist()) for c in KNOWN)
+            wrapper.templates = {row[1]: own}
         yield row
 
 
-def list_heads(trees: DataFrame, model) -> frozenset[int]:
-    """Constant nodes that mostly have varying titles behind them; such a list ends at the first sentence or constant node."""
+def list_heads(trees: DataFrame, model) -> DataFrame:
+    """(sig) of constant nodes that mostly have varying titles behind them; such a list ends at the first sentence or constant node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wrapper, seen = Wrapper(*model.value), Counter()
@@ -299,38 +302,46 @@ def list_heads(trees: DataFrame, model) -> frozenset[int]:
                         seen[s, min(wrapper.slots(kinds, constant, i), 1)] += 1
         yield pd.DataFrame({"sig": np.array([s for s, _ in seen], np.int64), "slots": np.array([n for _, n in seen], np.int32), "n": np.array(list(seen.values()), np.int64)})
 
-    # at most two rows for each node common to many hosts
-    got = trees.mapInPandas(run, "sig long, slots int, n long").groupBy("sig", "slots").agg(F.sum("n").alias("n")).toPandas()
-    if got.empty:
-        return frozenset()
-    total = got.groupby("sig")["n"].sum()
-    filled = got[got["slots"] > 0].groupby("sig")["n"].sum().reindex(total.index, fill_value=0)
-    heads = total.index[(total >= 5) & (filled >= 0.6 * total)]
-    return frozenset(int(h) for h in heads)
+    got = trees.mapInPandas(run, "sig long, slots int, n long").groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("slots")).alias("filled"))
+    return got.where((F.col("n") >= 5) & (F.col("filled") >= 0.6 * F.col("n"))).select("sig")
+
+
+def _marked(trees: DataFrame, known: dict[str, tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """``trees`` with, for each name of ``known``, the nodes of the page that are in a table: (kind of node, table, columns
+    to join on). Nodes meet the table on its own columns, so what moves is nodes, never a template for each page."""
+    out = trees
+    for name, (nodes, table, on) in known.items():
+        at = trees.select("row", "host", F.explode(F.array_distinct(F.expr(nodes))).alias("sig")).join(table, on)
+        out = out.join(at.groupBy("row").agg(F.collect_set("sig").alias(name)), "row", "left")
+    return out
 
 
 def boilerplate_lines(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", text_column: str = "text") -> DataFrame:
     """(page_id, line_no) of non-empty lines that are not main body; the first line is 1.
 
     Null and empty texts have no lines. Pages whose url has no host are one host of their own.
-    Each row is a page, so rows with the same id give the same lines twice.
+    Each row is a page, so rows with the same id give the same lines twice. What is known of hosts is
+    broadcast up to MODEL_ROWS rows; beyond, pages are joined with it.
     """
-    trees = cut_lineage(page_trees(pages, id_column, url_column, text_column))
+    trees = cut_lineage(page_trees(pages, id_column, url_column, text_column).withColumn("row", F.monotonically_increasing_id()))
     templates = cut_lineage(host_templates(trees, cut_lineage(copy_classes(trees))))
-    common = common_nodes(trees, templates).toPandas()  # nodes that many hosts share
-    lines, parts, bare = (set(common.loc[common["what"] == k, "sig"].astype("int64").tolist()) for k in (0, 1, 2))
+    common = cut_lineage(common_nodes(trees, templates))
     sc = pages.sparkSession.sparkContext
-    if templates.limit(MODEL_ROWS + 1).count() <= MODEL_ROWS:
+    kind = lambda k: common.where(F.col("what") == k).select("sig")
+    if templates.limit(MODEL_ROWS + 1).count() + common.limit(MODEL_ROWS + 1).count() <= MODEL_ROWS:
         known: dict[str, set[int]] = {}
         for h, s in zip(*(c for _, c in templates.toPandas().items()), strict=True):
             known.setdefault(h, set()).add(int(s))
+        got = common.toPandas()
+        lines, parts, bare = (set(got.loc[got["what"] == k, "sig"].astype("int64").tolist()) for k in (0, 1, 2))
         joined = trees
-    else:  # the template, one row a host, travels with the page
-        known = {}
-        joined = trees.join(templates.groupBy("host").agg(F.collect_list("sig").alias("own")), "host", "left")
-    first = sc.broadcast((known, lines, parts, bare))
-    heads = list_heads(joined, first)
-    model = sc.broadcast((known, lines, parts, bare, heads))
+        heads = frozenset(r["sig"] for r in list_heads(joined, sc.broadcast((known, lines, parts, bare))).collect())  # no more than ``lines``
+        model = sc.broadcast((known, lines, parts, bare, heads))
+    else:
+        every = "concat(sigs, flatten(parts))"
+        joined = cut_lineage(_marked(trees, {"own": (every, templates, ["host", "sig"]), "lines": (every, kind(0), ["sig"]), "parts_known": (every, kind(1), ["sig"]), "bare": ("skeletons", kind(2), ["sig"])}))
+        joined = _marked(joined, {"heads": ("sigs", cut_lineage(list_heads(joined, sc.broadcast(({}, set(), set(), set())))), ["sig"])})
+        model = sc.broadcast(({}, set(), set(), set(), frozenset()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wrapper = Wrapper(*model.value)
