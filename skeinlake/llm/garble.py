@@ -328,7 +328,6 @@ def restore_texts(texts: list[str | None], model: PairModel, restore: bool = Tru
 
 
 PLAIN = READINGS[:6]
-_LONG = re.compile(r"[^\x00-\x7f]{2,}")
 #: Which readings show a character for a byte that begins, or continues, a sequence of UTF-8.
 _LEADS: dict[str, int] = {}
 _TAILS: dict[str, int] = {}
@@ -338,6 +337,8 @@ for _k, _e in enumerate(PLAIN):
             if _lo <= _b <= _hi:
                 _of[chr(_c)] = _of.get(chr(_c), 0) | 1 << _k
 STARTS = re.compile("[" + re.escape("".join(_LEADS)) + "][" + re.escape("".join(_TAILS)) + "]")
+#: Non-ASCII runs that may be UTF-8 under some reading.
+_LONG = re.compile(r"(?<![^\x00-\x7f])" + STARTS.pattern + r"[^\x00-\x7f]*")
 
 
 def plain_restore(text: str) -> str | None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -129,10 +129,12 @@ class Retriever:
         self.total = [sum(self.weight[w] * k for w, k in c.items()) for _, c, _ in self.exemplars]
         # the rarest words of each exemplar that weigh more than may be missing; a passage must have one of them
         self.index: dict[str, list[int]] = defaultdict(list)
+        self.rare: list[list[str]] = [[] for _ in self.exemplars]
         for i, (_, c, _) in enumerate(self.exemplars):
             left = (1 - self.contained) * self.total[i]
             for w in sorted(c, key=lambda w: (-self.weight[w] * c[w], w)):
                 self.index[w].append(i)
+                self.rare[i].append(w)
                 left -= self.weight[w] * c[w]
                 if left < 0:
                     break
@@ -188,7 +190,13 @@ class Retriever:
             label, want, slots = self.exemplars[i]
             width = sum(want.values()) + (slots + 1 if slots else 0)
             short = sum(k if w < "\u3040" else 0.5 * k for w, k in want.items()) < FREE_WORDS
-            for at in sorted(k for w in want for k in places[w]):
+            anchors = sorted(k for w in self.rare[i] for k in places.get(w, ()))  # a window must have one of them
+            if not anchors:
+                continue
+            for at in sorted(k for w in want for k in places.get(w, ())):
+                a = bisect_left(anchors, at)
+                if a == len(anchors) or anchors[a] >= at + width:
+                    continue
                 q = bisect_right(starts, spans[at][0]) - 1
                 if (q >= 0 and spans[at][0] < quoted[q][1]) or (short and not edge(at)):
                     continue
