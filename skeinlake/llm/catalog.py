@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skeinlake.llm.boilerplate import boilerplate_lines, main_body
 from skeinlake.llm.garble import garbled_fields
 from skeinlake.llm.leakage import LEAK, leaks
-from skeinlake.llm.near_dup import near_duplicate_pairs
+from skeinlake.llm.near_dup import near_duplicate_groups, near_duplicate_pairs
 from skeinlake.llm.packing import pack
 from skeinlake.llm.residue import residue_fields
 from skeinlake.llm.sentences import sentences
@@ -27,6 +27,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_pairs(_wide(spark, d, "wacz_pages", *PAGE)).toDF("page_id_a", "page_id_b", "similarity").select("page_id_a", "page_id_b")
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Class of every page, of any language and length: five words, a similarity of 0.8."""
+    return near_duplicate_groups(_wide(spark, d, "wacz_pages", *PAGE)).toDF("page_id", "class_id", "links")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return garbled_fields(_wide(spark, d, "wacz_pages", *PAGE), restore=False).select(F.col("id").alias("page_id"), "field").distinct()
 
@@ -77,6 +82,6 @@ def p9_alignments(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
-QUERIES = {"p8_packed": p8_packed, "p9_found": p9_found, "p9_alignments": p9_alignments, "p10_found": p10_found, "p7_found": p7_found, "p7_bodies": p7_bodies, "p6_found": p6_found, "p1_found": p1_found, "p5_found": p5_found, "p5_restored": p5_restored}
+QUERIES = {"p8_packed": p8_packed, "p9_found": p9_found, "p9_alignments": p9_alignments, "p10_found": p10_found, "p7_found": p7_found, "p7_bodies": p7_bodies, "p6_found": p6_found, "p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_restored": p5_restored}
 
 SQL: dict[str, str] = {}

@@ -3,15 +3,16 @@
 A text's fingerprint has ``SEGMENTS`` segments. Segment i is tied to the text's min-wise run of
 three words under hash i; its 23 bits are majority votes of the words around that run, so small
 edits beside it flip few bits. Each segment is decoded to the indices of the Golay codewords near
-it, one or six of them, and (segment, run, codeword) is a key. Errors are spread over the
-segments: where fewer than all segments have more than two wrong bits, two texts share a key. Key
-rows carry a 128-bit sketch of one-bit minima, compared inside the join, and what is left is
-verified exactly on the whole texts.
+it, one or six of them, and (segment, run, codeword) is a key. Two texts share a key unless in every
+segment either the runs differ or more than two bits do: at a similarity of s all SEGMENTS runs
+differ with a chance of (1 - s) ** SEGMENTS. Key rows carry a 128-bit sketch of one-bit minima,
+compared inside the join, and what is left is verified exactly on the whole texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -88,16 +89,33 @@ def fingerprints(word_hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarra
     return runs, words, halves[0], halves[1], nibbles
 
 
-def _features(min_words: int):
+TOKEN = re.compile(r"[⺀-鿿가-힣豈-﫿฀-๿຀-໿က-႟ក-៿]|[^\s⺀-鿿가-힣豈-﫿฀-๿຀-໿က-႟ក-៿]+")
+
+
+def split_words(text: str) -> list[str]:
+    """Lower-cased text, split at white space."""
+    return text.lower().split()
+
+
+def tokens(text: str) -> list[str]:
+    """As split_words, but characters of scripts without blanks are words of their own."""
+    return TOKEN.findall(text.lower())
+
+
+def _features(min_words: int, split: Callable[[str], list[str]] = split_words):
+    """Features of texts of ``min_words`` words or more; texts of fewer than RUN words, if any, have no keys."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         for pdf in batches:
-            ids, lengths, flat, full = [], [], [], []
+            ids, lengths, flat, full, few = [], [], [], [], []
             for i, text in zip(pdf["id"].to_numpy(), pdf["text"], strict=True):
                 if text is None:
                     continue
-                words = text.lower().split()
+                words = split(text)
                 if len(words) < max(min_words, RUN):
+                    if len(words) >= max(min_words, 1):
+                        few.append((i, xxhash.xxh3_128_intdigest("\n".join(words))))
                     continue
                 for w in words:
                     h = known.get(w)
@@ -109,6 +127,9 @@ def _features(min_words: int):
                 full.append(xxhash.xxh3_128_intdigest("\n".join(words)))
             if len(known) > 1 << 20:
                 known.clear()
+            if few:
+                top, low = np.array([f >> 64 for _, f in few], np.uint64).view(np.int64), np.array([f & (2**64 - 1) for _, f in few], np.uint64).view(np.int64)
+                yield pd.DataFrame({"id": [i for i, _ in few], "h1": top, "h2": low, "s1": np.int64(0), "s2": np.int64(0), "keys": [np.empty(0, np.int64)] * len(few), "nibbles": [np.zeros(SKETCH // 16, np.int64)] * len(few)})
             if not ids:
                 continue
             ln = np.array(lengths)
@@ -127,23 +148,23 @@ def _features(min_words: int):
     return run
 
 
-def agreement_floor(threshold: float, deviations: float = 3.5) -> int:
-    """Sketch bits that texts at ``threshold`` agree in, less ``deviations`` standard deviations."""
+def agreement_floor(threshold: float, deviations: float | None = 3.5) -> int:
+    """Sketch bits that texts at ``threshold`` agree in, less ``deviations`` standard deviations; 0 without."""
     p = (1 + threshold) / 2
-    return int(SKETCH * p - deviations * (SKETCH * p * (1 - p)) ** 0.5)
-
-
-def _jaccard(a: str, b: str) -> float:
-    x, y = a.lower().split(), b.lower().split()
-    x, y = set(zip(x, x[1:], x[2:])), set(zip(y, y[1:], y[2:]))
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
+    return 0 if deviations is None else int(SKETCH * p - deviations * (SKETCH * p * (1 - p)) ** 0.5)
 
 
-def nibbles_floor(threshold: float, deviations: float = 4.0) -> int:
+def nibbles_floor(threshold: float, deviations: float | None = 4.0) -> int:
     """As agreement_floor, for minima of which four bits are kept."""
     p = threshold + (1 - threshold) / 16
-    return int(SKETCH * p - deviations * (SKETCH * p * (1 - p)) ** 0.5)
+    return 0 if deviations is None else int(SKETCH * p - deviations * (SKETCH * p * (1 - p)) ** 0.5)
+
+
+def _jaccard(a: str, b: str, split: Callable[[str], list[str]] = split_words, run: int = RUN) -> float:
+    x, y = split(a), split(b)
+    x, y = set(zip(*(x[k:] for k in range(run)))), set(zip(*(y[k:] for k in range(run))))
+    both = len(x & y)
+    return both / max(len(x) + len(y) - both, 1)
 
 
 def _equal_nibbles(x: str, y: str) -> Column:
@@ -161,12 +182,13 @@ def if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def candidate_pairs(docs: DataFrame, threshold: float) -> DataFrame:
+def candidate_pairs(docs: DataFrame, threshold: float, exact: bool = False) -> DataFrame:
     """(a, b), a < b: rows of (id, s1, s2, keys) that share a key and whose sketches allow ``threshold``.
 
     No bucket is cut. One with more than HOT_BUCKET rows is split: a row meets the whole bucket in
     the cell of its own salt, so that a cell has HOT_BUCKET rows on one side.
     """
+    floor = agreement_floor(threshold, None) if exact else agreement_floor(threshold)
     rows = docs.select("id", "s1", "s2", F.explode("keys").alias("key"))
     hot = cut_lineage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_BUCKET).select("key", F.ceil(F.col("n") / HOT_BUCKET).cast("int").alias("cells")))
 
@@ -174,7 +196,7 @@ def candidate_pairs(docs: DataFrame, threshold: float) -> DataFrame:
         x, y = x.alias("x"), y.alias("y")
         agree = SKETCH - F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) - F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
         same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in on]
-        return x.join(y, [*same, F.col("x.id") < F.col("y.id"), agree >= agreement_floor(threshold)]).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        return x.join(y, [*same, F.col("x.id") < F.col("y.id"), agree >= floor]).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
     if hot.isEmpty():
         return meet(rows, rows, ["key"]).distinct()
@@ -185,30 +207,46 @@ def candidate_pairs(docs: DataFrame, threshold: float) -> DataFrame:
     return meet(cold, cold, ["key"]).unionByName(meet(left, right, ["key", "cell"])).distinct()
 
 
-def near_duplicate_pairs(pages: DataFrame, threshold: float = 0.5, min_words: int = 80, id_column: str = "page_id", text_column: str = "text") -> DataFrame:
-    """(id_a, id_b, similarity), id_a < id_b, of texts with at least ``min_words`` words and a Jaccard
-    similarity of ``threshold`` or more over sets of three consecutive words.
-
-    Null, empty and shorter texts are in no pair; rows with a null id are left out. Texts with the
-    same words are one representative until the end, so copies meet only in the result. Rows that
-    repeat an id count once.
-    """
-    docs = pages.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    feats = cut_lineage(docs.where(F.length("text") >= 2 * min_words - 1).mapInPandas(_features(min_words), FEATURES))
+def _copies(feats: DataFrame) -> DataFrame:
+    """(rep, id): rows with the same words as the row with the least id among them."""
     groups = feats.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
-    copies = cut_lineage(feats.select("h1", "h2", "id").join(groups, ["h1", "h2"]).where(F.col("id") != F.col("rep")).select("rep", "id").distinct())
-    near = candidate_pairs(feats.join(if_small(copies.select("id"), SMALL), "id", "left_anti"), threshold)
-    sketches = if_small(feats.select("id", "nibbles"), SMALL // 8)
-    near = near.join(sketches.toDF("a", "na"), "a").join(sketches.toDF("b", "nb"), "b").where(_equal_nibbles("na", "nb") >= nibbles_floor(threshold))
+    return cut_lineage(feats.select("h1", "h2", "id").join(groups, ["h1", "h2"]).where(F.col("id") != F.col("rep")).select("rep", "id").distinct())
+
+
+def _verified(docs: DataFrame, feats: DataFrame, copies: DataFrame, threshold: float, exact: bool, split: Callable[[str], list[str]], run: int) -> DataFrame:
+    """(a, b, similarity) of representatives, a < b."""
+    near = candidate_pairs(feats.join(if_small(copies.select("id"), SMALL), "id", "left_anti"), threshold, exact)
+    if not exact:
+        sketches = if_small(feats.select("id", "nibbles"), SMALL // 8)
+        near = near.join(sketches.toDF("a", "na"), "a").join(sketches.toDF("b", "nb"), "b").where(_equal_nibbles("na", "nb") >= nibbles_floor(threshold))
     near = cut_lineage(near.select("a", "b").distinct())
     ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
     texts = docs.join(if_small(ids, SMALL), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    jaccard = F.pandas_udf(lambda a, b: pd.Series([_jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
-    sure = (
+    jaccard = F.pandas_udf(lambda a, b: pd.Series([_jaccard(x, y, split, run) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
+    return (
         near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", jaccard("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold)
     )
+
+
+def _texts(pages: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return pages.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+
+
+def near_duplicate_pairs(pages: DataFrame, threshold: float = 0.5, min_words: int = 80, id_column: str = "page_id", text_column: str = "text", exact: bool = False) -> DataFrame:
+    """(id_a, id_b, similarity), id_a < id_b, of texts with at least ``min_words`` words and a Jaccard
+    similarity of ``threshold`` or more over sets of three consecutive words, as TESTDATA.md defines
+    them: words are split at white space.
+
+    Null, empty and shorter texts are in no pair; rows with a null id are left out. Texts with the
+    same words are one representative until the end, so copies meet only in the result. Rows that
+    repeat an id count once. With ``exact`` no candidate is tested on its sketch.
+    """
+    docs = _texts(pages, id_column, text_column)
+    feats = cut_lineage(docs.where(F.length("text") >= 2 * min_words - 1).mapInPandas(_features(min_words), FEATURES))
+    copies = _copies(feats)
+    sure = _verified(docs, feats, copies, threshold, exact, split_words, RUN)
     if copies.isEmpty():
         return sure.toDF("id_a", "id_b", "similarity")
     sure = cut_lineage(sure)
@@ -222,3 +260,41 @@ def near_duplicate_pairs(pages: DataFrame, threshold: float = 0.5, min_words: in
         F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), F.lit(1.0).alias("similarity"))
     wide = spread(spread(sure, "a"), "b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity")
     return wide.unionByName(same)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, class): the least id that each id of the links (a, b) is connected with.
+
+    Each round takes the least label of all neighbours and then the label of that label, so rounds
+    are about logarithmic in the longest chain. Every round is written down; nothing comes to the driver
+    but the number of changes.
+    """
+    edges = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut_lineage(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("class")))
+    while True:
+        near = edges.join(labels.select(F.col("a").alias("b"), F.col("class").alias("other")), "b").groupBy("a").agg(F.min("other").alias("least"))
+        nearer = labels.join(near, "a").select("a", F.col("class").alias("old"), F.least("class", "least").alias("class"))
+        jumped = nearer.join(labels.select(F.col("a").alias("class"), F.col("class").alias("root")), "class", "left")
+        jumped = cut_lineage(jumped.select("a", "old", F.least("class", F.coalesce("root", "class")).alias("class")))
+        changed = jumped.where(F.col("class") != F.col("old")).limit(1).count()
+        labels = jumped.select("a", "class")
+        if not changed:
+            return labels.withColumnRenamed("a", "id")
+
+
+def near_duplicate_groups(pages: DataFrame, threshold: float = 0.8, run: int = 5, id_column: str = "page_id", text_column: str = "text", exact: bool = False) -> DataFrame:
+    """(id, class, links) of every text with a word: the least id of its group, and the number of different texts that it
+    reaches ``threshold`` with, over sets of ``run`` consecutive words (characters where a script has no blanks).
+
+    Copies share the class and the links of the least of them and are not paired. Texts of fewer than
+    ``run`` words are grouped with their copies only. Null, empty and blank texts and rows with a null id are
+    left out; rows that repeat an id count once.
+    """
+    docs = _texts(pages, id_column, text_column)
+    feats = cut_lineage(docs.mapInPandas(_features(1, tokens), FEATURES))
+    copies = _copies(feats)
+    sure = cut_lineage(_verified(docs, feats, copies, threshold, exact, tokens, run))
+    degree = sure.select(F.col("a").alias("id")).unionByName(sure.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    known = components(sure).join(degree, "id").withColumnRenamed("id", "rep")
+    reps = feats.select("id").distinct().join(copies.select("id", "rep"), "id", "left").withColumn("rep", F.coalesce("rep", "id"))
+    return reps.join(known, "rep", "left").select("id", F.coalesce("class", "rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -10,7 +10,7 @@ from skeinlake.llm import golay
 from skeinlake.llm.boilerplate import boilerplate_lines, main_body, simple_tree_matching
 from skeinlake.llm.garble import PairModel, garbled_fields, maximum_segments, plain_restore
 from skeinlake.llm.leakage import align, leaks
-from skeinlake.llm.near_dup import near_duplicate_pairs
+from skeinlake.llm.near_dup import components, near_duplicate_groups, near_duplicate_pairs, tokens
 from skeinlake.llm.packing import pack
 from skeinlake.llm.residue import residue_fields
 from skeinlake.llm.sentences import sentence_spans, sentences
@@ -89,6 +89,46 @@ def test_hot_buckets_lose_nothing(spark, monkeypatch):
     assert {tuple(r) for r in near_duplicate_pairs(pages_of(spark, rows)).select("id_a", "id_b").collect()} == plain and len(plain) == 60 * 59 // 2
 
 
+def test_groups_of_every_language_and_length(spark):
+    """Classes and links against brute force, with scripts without blanks, short texts and copies."""
+    rng = random.Random(23)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 400)]
+    rows, n = [], 0
+    for k in range(40):
+        cjk = k % 2
+        base = [rng.choice(signs if cjk else WORDS) for _ in range(rng.randrange(6, 150))]
+        for _ in range(rng.randrange(1, 5)):
+            w = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice(signs if cjk else WORDS)
+            rows.append((n, "u", None, ("" if cjk else " ").join(w)))
+            n += 1
+    rows += [(900, "u", None, "a b"), (901, "u", None, "A  b"), (902, "u", None, "x"), (903, "u", None, " "), (904, "u", None, None), (905, "u", None, rows[0][3]), rows[0]]
+    cut = {i: tokens(t) for i, _, _, t in rows if t and t.split()}
+    sets = {i: set(zip(*(w[k:] for k in range(5)))) for i, w in cut.items()}
+    up, links = {i: i for i in cut}, {i: set() for i in cut}
+
+    def root(x):
+        return x if up[x] == x else root(up[x])
+
+    for a in cut:
+        for b in cut:
+            near = bool(sets[a]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            if a < b and (near or cut[a] == cut[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+            if near and cut[a] != cut[b]:
+                links[a].add(tuple(cut[b]))
+    got = {r["id"]: (r["class"], r["links"]) for r in near_duplicate_groups(pages_of(spark, rows)).collect()}
+    assert set(got) == set(cut)
+    right = sum(got[i] == (root(i), len(links[i])) for i in cut)
+    assert right >= 0.97 * len(cut)
+    exact = {r["id"]: (r["class"], r["links"]) for r in near_duplicate_groups(pages_of(spark, rows), exact=True).collect()}
+    assert sum(exact[i] == (root(i), len(links[i])) for i in cut) >= right
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert {r["class"] for r in components(chain).collect()} == {0}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicate_pairs(pages_of(spark, [(1, "u", None, None)]).limit(0)).count() == 0
 
