@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 def is_safe(path: Column) -> Column:
     """No backslash and no empty, ``.`` or ``..`` segment, so neither a leading nor a trailing slash."""
-    return ~path.contains("\\") & ~path.rlike(r"(^|/)(\.{0,2})(/|$)")
+    return ~path.contains("\\") & ~path.rlike(r"(^|/)(\.{0,2})(/|\z)")
 
 
 def is_warc(path: Column) -> Column:
-    return is_safe(path) & path.rlike(r"^archive/[^/]+\.warc(\.gz)?$")
+    return is_safe(path) & path.rlike(r"^archive/[^/]+\.warc(\.gz)?\z")
 
 
 def warc_gzip(name: Column) -> Column:
@@ -21,15 +21,15 @@ def warc_gzip(name: Column) -> Column:
 
 
 def is_cdxj_index(path: Column) -> Column:
-    return is_safe(path) & path.rlike(r"^indexes/[^/]+\.cdxj?(\.gz)?$")
+    return is_safe(path) & path.rlike(r"^indexes/[^/]+\.cdxj?(\.gz)?\z")
 
 
 def is_zipnum_data(path: Column) -> Column:
-    return is_safe(path) & path.rlike(r"^indexes/[^/]+\.cdx\.gz$")
+    return is_safe(path) & path.rlike(r"^indexes/[^/]+\.cdx\.gz\z")
 
 
 def is_zipnum_summary(path: Column) -> Column:
-    return is_safe(path) & path.rlike(r"^indexes/[^/]+\.idx$")
+    return is_safe(path) & path.rlike(r"^indexes/[^/]+\.idx\z")
 
 
 def valid_index_name(name: Column) -> Column:

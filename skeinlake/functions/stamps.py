@@ -58,17 +58,21 @@ def canonical_sha256(text: Column) -> Column:
 
 
 def digest_parts(text: Column) -> Column:
-    """Struct(algorithm, hex) of a labelled digest in hexadecimal or base32, so that equal values are equal; bare
-    text of 32 base32 characters is SHA-1, as capture indexes have it."""
+    """Struct(algorithm, hex) of a labelled digest in hexadecimal, base32 or base64, so that equal values are equal; bare
+    text of 32 base32 characters is SHA-1, as capture indexes have it. ``hex`` is null where the value has not the
+    length of its algorithm, or the algorithm is none of MD5, SHA-1, SHA-256 and SHA-512."""
     label = F.lower(F.regexp_replace(F.when(text.contains(":"), F.substring_index(text, ":", 1)).otherwise("sha1"), "-", ""))
     value = F.when(text.contains(":"), F.regexp_replace(text, r"^[^:]*:", "")).otherwise(text)
-    size = F.create_map(F.lit("md5"), F.lit(32), F.lit("sha1"), F.lit(40), F.lit("sha256"), F.lit(64), F.lit("sha512"), F.lit(128))[label]
-    as_hex = F.when(value.rlike(r"\A[0-9A-Fa-f]+\z") & (F.length(value) == size), F.lower(value))
+    size = F.create_map(F.lit("md5"), F.lit(16), F.lit("sha1"), F.lit(20), F.lit("sha256"), F.lit(32), F.lit("sha512"), F.lit(64))[label]
+    bare = F.length(F.regexp_replace(value, "=+$", ""))
+    as_hex = F.when(value.rlike(r"\A[0-9A-Fa-f]+\z") & (F.length(value) == 2 * size), F.lower(value))
     bits = F.array_join(F.transform(F.split(F.regexp_replace(F.upper(value), "=+$", ""), ""), lambda c: F.lpad(F.bin(F.instr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), c) - 1), 5, "0")), "")
-    # four bits a digit
-    nibbles = F.transform(F.sequence(F.lit(1), F.floor(F.length(bits) / 4).cast("int")), lambda i: F.lower(F.conv(F.substr(bits, (i - 1) * 4 + 1, F.lit(4)), 2, 16)))
-    from32 = F.when(value.rlike(r"\A[A-Za-z2-7]+=*\z") & (F.length(value) >= 26), F.array_join(nibbles, ""))
-    return F.struct(label.alias("algorithm"), F.coalesce(as_hex, from32).alias("hex"))
+    # four bits a digit, without what fills the last character
+    nibbles = F.transform(F.sequence(F.lit(1), 2 * size), lambda i: F.lower(F.conv(F.substr(bits, (i - 1) * 4 + 1, F.lit(4)), 2, 16)))
+    from32 = F.when(value.rlike(r"\A[A-Za-z2-7]+=*\z") & (bare == F.ceil(size * 8 / 5)), F.array_join(nibbles, ""))
+    plain = F.regexp_replace(F.translate(value, "-_", "+/"), "=+$", "")
+    from64 = F.when(value.rlike(r"\A[A-Za-z0-9+/_-]+={0,2}\z") & (bare == F.ceil(size * 4 / 3)), F.lower(F.hex(F.unbase64(F.rpad(plain, (F.ceil(size / 3) * 4).cast("int"), "=")))))
+    return F.struct(label.alias("algorithm"), F.coalesce(as_hex, from32, from64).alias("hex"))
 
 
 def synthetic_id(ts_text: Column, url: Column, length: int = 24) -> Column:

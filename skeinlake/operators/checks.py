@@ -86,8 +86,10 @@ def conformance(findings: DataFrame, packages: DataFrame) -> DataFrame:
 def match_error(url: Column, target: Column, key: Column, ts_raw: Column, record_ts: Column, status: Column, record_status: Column, mime: Column, record_mime: Column, digest: Column, record_digest: Column) -> Column:
     """First of the checks of an index entry against its record that fails, in the order identity, HTTP, digest; null if none does."""
     a, b = digest_parts(digest), digest_parts(record_digest)
+    # a digest that cannot be read equals none, not even itself
+    same = F.when(digest.isNull() | record_digest.isNull(), digest.isNull() & record_digest.isNull()).otherwise(F.coalesce((a.algorithm == b.algorithm) & (a.hex == b.hex), F.lit(False)))
     return (
         F.when(~url.eqNullSafe(target), "URL").when(~key.isin(surt_wayback(target), surt_warcio(target)), "KEY")
         .when(~F.coalesce(same_precision(ts_raw, record_ts), F.lit(False)), "TIMESTAMP").when(~status.eqNullSafe(record_status), "STATUS")
-        .when(~F.lower(mime).eqNullSafe(F.lower(record_mime)), "MIME").when(~a.eqNullSafe(b), "DIGEST")
+        .when(~F.lower(mime).eqNullSafe(F.lower(record_mime)), "MIME").when(~same, "DIGEST")
     )

@@ -78,7 +78,7 @@ def package_validate(spark: SparkSession, d: str) -> DataFrame:
 
 def capture_records(spark: SparkSession, d: str) -> DataFrame:
     url = table(spark, d, "wacz_pages").where(F.col("text").isNotNull()).agg(F.min("url")).first()[0]
-    return captures_of(spark, _package(spark, d, zipnum_lines=256), url or "http://none.test/").select("key", "ts_raw", "url", "status", F.octet_length("body").alias("bytes"))
+    return captures_of(spark, _package(spark, d, zipnum_lines=256), url or "http://none.test/").select("key", "ts_raw", "url", F.col("http_status").alias("status"), F.octet_length("body").alias("bytes"), F.col("read_error"))
 
 
 QUERIES = {f.__name__: f for f in (warc_scan, zip_round_trip, zipnum_lines, page_list_scan, package_validate, capture_records)}

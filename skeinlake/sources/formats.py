@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import json
 import re
 import zlib
@@ -19,6 +21,35 @@ class FormatError(ValueError):
         self.code = code
 
 
+ALGORITHMS = ("md5", "sha1", "sha256", "sha512")
+
+
+def parse_digest(text: str) -> tuple[str, bytes] | None:
+    """(algorithm, value) of a labelled digest in hexadecimal, base32 or base64; None where it cannot be read. Text
+    without a label is SHA-1."""
+    label, sep, value = text.partition(":") if ":" in text else ("sha1", ":", text)
+    label = label.lower().replace("-", "")
+    if label not in ALGORITHMS:
+        return None
+    size, bare = hashlib.new(label).digest_size, value.rstrip("=")
+    try:
+        if len(value) == 2 * size and re.fullmatch(r"[0-9A-Fa-f]+", value):
+            return label, bytes.fromhex(value)
+        if len(bare) == -(-size * 8 // 5) and re.fullmatch(r"[A-Za-z2-7]+", bare):
+            return label, base64.b32decode(bare.upper() + "=" * (-len(bare) % 8))
+        if len(bare) == -(-size * 4 // 3) and re.fullmatch(r"[A-Za-z0-9+/_-]+", bare):
+            return label, base64.urlsafe_b64decode(bare.replace("+", "-").replace("/", "_") + "=" * (-len(bare) % 4))
+    except ValueError:
+        pass
+    return None
+
+
+def digest_matches(text: str, data: bytes) -> bool:
+    """Is ``text`` the digest of ``data``, by the algorithm that it names?"""
+    at = parse_digest(text)
+    return at is not None and hashlib.new(at[0], data).digest() == at[1]
+
+
 def is_gzip(head: bytes) -> bool:
     """By content, never by name; fewer than two bytes are not gzip."""
     return head[:2] == b"\x1f\x8b"
@@ -29,7 +60,10 @@ def gunzip(data: bytes, ceiling: int = CEILING) -> bytes:
     out, left = [], ceiling
     while data:
         d = zlib.decompressobj(31)
-        got = d.decompress(data, left + 1)
+        try:
+            got = d.decompress(data, left + 1)
+        except zlib.error as e:
+            raise FormatError("GZIP_MALFORMED") from e
         if len(got) > left:
             raise FormatError("DECOMPRESSION_LIMIT")
         if not d.eof:
@@ -108,7 +142,10 @@ def iter_members(stream: BinaryIO, size: int = 1 << 20) -> Iterator[tuple[int, i
                 pending = stream.read(size)
                 if not pending:
                     raise FormatError("GZIP_TRUNCATED")
-            got = d.decompress(pending, left + 1)
+            try:
+                got = d.decompress(pending, left + 1)
+            except zlib.error as e:
+                raise FormatError("GZIP_MALFORMED") from e
             if len(got) > left:
                 raise FormatError("DECOMPRESSION_LIMIT")
             left -= len(got)
