@@ -120,7 +120,18 @@ def canonical_digest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "members").select("member_id", S.canonical_sha256(c("hash")).alias("hash"))
 
 
-@query()
+def _digest_sql(text: str) -> tuple[str, str]:
+    """(algorithm, hex) of a labelled digest in hexadecimal or base32."""
+    label = f"replace(lower(CASE WHEN contains({text}, ':') THEN split_part({text}, ':', 1) ELSE 'sha1' END), '-', '')"
+    value = f"(CASE WHEN contains({text}, ':') THEN regexp_replace({text}, '^[^:]*:', '') ELSE {text} END)"
+    bits = f"array_to_string(list_transform(string_split(rtrim(upper({value}), '='), ''), lambda x: lpad(bin(strpos('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x) - 1), 5, '0')), '')"
+    digit = f"substr('0123456789abcdef', 1 + 8 * substr({bits}, 4 * i + 1, 1)::INT + 4 * substr({bits}, 4 * i + 2, 1)::INT + 2 * substr({bits}, 4 * i + 3, 1)::INT + substr({bits}, 4 * i + 4, 1)::INT, 1)"
+    size = f"(CASE {label} WHEN 'md5' THEN 16 WHEN 'sha1' THEN 20 WHEN 'sha256' THEN 32 WHEN 'sha512' THEN 64 END)"
+    return label, (f"CASE WHEN regexp_matches({value}, '^[0-9A-Fa-f]+$') AND length({value}) = 2 * {size} THEN lower({value}) "
+                   f"WHEN regexp_matches({value}, '^[A-Za-z2-7]+=*$') AND length(rtrim({value}, '=')) = ceil({size} * 8 / 5.0) THEN array_to_string(list_transform(range(2 * {size}), lambda i: {digit}), '') END")
+
+
+@query(f"SELECT capture_id, {_digest_sql('digest')[0]} AS algorithm, {_digest_sql('digest')[1]} AS hex FROM captures")
 def labelled_digests(spark: SparkSession, d: str) -> DataFrame:
     parts = S.digest_parts(c("digest"))
     return table(spark, d, "captures").select("capture_id", parts["algorithm"].alias("algorithm"), parts["hex"].alias("hex"))
@@ -208,7 +219,12 @@ def index_sort_dedup(spark: SparkSession, d: str) -> DataFrame:
     return index.build_index(_day_lines(spark, d))
 
 
-@query()
+_LINE = """concat_ws(' ', key, ts_raw, '{' || concat_ws(',', '"url":' || to_json(url), '"digest":' || to_json(digest), '"mime":' || to_json(mime), '"status":' || status, '"offset":' || byte_offset,
+  '"length":' || byte_length, '"filename":' || to_json(filename), '"recordDigest":' || to_json(record_digest)) || '}')"""
+_WHOLE = f"SELECT DISTINCT {_LINE} AS line FROM captures WHERE key IS NOT NULL AND ts_raw IS NOT NULL"
+
+
+@query(f"SELECT DISTINCT {_LINE} AS line FROM captures")
 def index_lines(spark: SparkSession, d: str) -> DataFrame:
     return index.build_index(index.capture_lines(table(spark, d, "captures")))
 
@@ -232,24 +248,28 @@ def zipnum_running_offset(spark: SparkSession, d: str) -> DataFrame:
     return index.block_offsets(index.block_summary(index.assign_blocks(_day_lines(spark, d)))).select("block_no", "n_bytes", "byte_offset")
 
 
-# The same over whole index lines, as index_lines has them; their JSON has no SQL. The queries above keep the day lines of their SQL.
+# The same over whole index lines, as index_lines has them. The queries above keep the day lines of their SQL.
+
+_LINE_BLOCKS = f"""WITH b AS (SELECT line, row_number() OVER (ORDER BY line) - 1 AS ordinal, (row_number() OVER (ORDER BY line) - 1) // 1024 AS block_no FROM ({_WHOLE})),
+  s AS (SELECT block_no, array_to_string(string_split(min(line), ' ')[1:2], ' ') AS first_prefix, count(*) AS n_lines, sum(octet_length(encode(line)) + 1)::BIGINT AS n_bytes FROM b GROUP BY block_no)
+"""
 
 
 def _index_lines(spark: SparkSession, d: str) -> DataFrame:
     return index.capture_lines(table(spark, d, "captures").where(c("key").isNotNull() & c("ts_raw").isNotNull()))
 
 
-@query()
+@query(_LINE_BLOCKS + "SELECT line, ordinal, block_no FROM b")
 def index_line_blocks(spark: SparkSession, d: str) -> DataFrame:
     return index.assign_blocks(_index_lines(spark, d))
 
 
-@query()
+@query(_LINE_BLOCKS + "SELECT block_no, first_prefix, n_lines, n_bytes FROM s")
 def index_line_summary(spark: SparkSession, d: str) -> DataFrame:
     return index.block_summary(index.assign_blocks(_index_lines(spark, d)))
 
 
-@query()
+@query(_LINE_BLOCKS + "SELECT block_no, n_bytes, coalesce(sum(n_bytes) OVER (ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset FROM s")
 def index_line_offsets(spark: SparkSession, d: str) -> DataFrame:
     return index.block_offsets(index.block_summary(index.assign_blocks(_index_lines(spark, d)))).select("block_no", "n_bytes", "byte_offset")
 
@@ -498,6 +518,26 @@ def capture_match_first_error(spark: SparkSession, d: str) -> DataFrame:
     return at.select("capture_id", error.alias("error"))
 
 
+_REAL = """WITH f AS (SELECT package_id, key, min(capture_id) AS record_id FROM captures WHERE key IS NOT NULL GROUP BY ALL),
+  e AS (SELECT c.*, r.url AS r_url, r.ts_raw AS r_ts, r.status AS r_status, r.mime AS r_mime, r.digest AS r_digest FROM captures c JOIN f USING (package_id, key) JOIN captures r ON r.capture_id = f.record_id WHERE c.url IS NOT NULL)
+"""
+_ANY_TS = "regexp_matches({0}, '^[0-9]{{14}}([0-9]{{3}})?$')"
+
+
+@query(_REAL + f"""SELECT capture_id, CASE WHEN url IS DISTINCT FROM r_url THEN 'URL' WHEN NOT key IN ({U.key_sql('r_url', False)}, {U.key_sql('r_url', True)}) THEN 'KEY'
+  WHEN NOT coalesce({_ANY_TS.format('ts_raw')} AND {_ANY_TS.format('r_ts')} AND rpad(ts_raw, 17, '0') = rpad(CASE WHEN length(ts_raw) = 17 THEN r_ts ELSE left(r_ts, 14) END, 17, '0'), false) THEN 'TIMESTAMP'
+  WHEN status IS DISTINCT FROM r_status THEN 'STATUS' WHEN lower(mime) IS DISTINCT FROM lower(r_mime) THEN 'MIME'
+  WHEN digest IS NOT NULL OR r_digest IS NOT NULL THEN CASE WHEN coalesce({_digest_sql('digest')[0]} = {_digest_sql('r_digest')[0]} AND {_digest_sql('digest')[1]} = {_digest_sql('r_digest')[1]}, false) THEN NULL ELSE 'DIGEST' END END AS error FROM e""")
+def capture_against_first(spark: SparkSession, d: str) -> DataFrame:
+    """Each capture against the first capture of its key in its package, which stands in for the record: they differ in every field."""
+    rows = table(spark, d, "captures").where(c("key").isNotNull())
+    fields = ["url", "ts_raw", "status", "mime", "digest"]
+    first = rows.groupBy("package_id", "key").agg(F.min_by(F.struct(*fields), "capture_id").alias("r"))
+    at = rows.where(c("url").isNotNull()).join(first, ["package_id", "key"])
+    error = checks.match_error(c("url"), c("r.url"), c("key"), c("ts_raw"), S.parse_cdx(c("r.ts_raw")), c("status"), c("r.status"), c("mime"), c("r.mime"), c("digest"), c("r.digest"))
+    return at.select("capture_id", error.alias("error"))
+
+
 @query("SELECT date_id, property IN ('created', 'modified', 'mainPageDate', 'profile', 'name') AS collides FROM manifest_dates")
 def extra_property_collision(spark: SparkSession, d: str) -> DataFrame:
     modelled = F.array(*[F.lit(x) for x in ("created", "modified", "mainPageDate", "profile", "name")])

@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**archive.SQL, **pipeline.SQL}
+    return {**archive.SQL, **physical.SQL, **pipeline.SQL}

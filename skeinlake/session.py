@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +22,7 @@ def build_session(app: str = "skeinlake", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for k, v in {**REQUIRED, "spark.sql.adaptive.enabled": "true", **conf}.items():
+    for k, v in {**REQUIRED, "spark.sql.adaptive.enabled": "true", "spark.cleaner.referenceTracking.cleanCheckpoints": "true", **conf}.items():
         builder = builder.config(k, v)
     return ensure_session(builder.getOrCreate())
 
@@ -37,15 +40,30 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return ensure_session(spark).read.parquet(f"{root}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder that all executors share and reads it back from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. A local session without one gets a temporary folder, which
+    goes with the process; a cluster without one is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _local_folder()
 
-    The folder is the session's ``spark.checkpoint.dir``. Where neither that nor a checkpoint
-    folder is set (a local test session), a temporary one is set first.
-    """
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    made = tempfile.mkdtemp(prefix="skeinlake-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the checkpoint folder that all executors share and reads it back from there. Spark removes a checkpoint
+    with its last reference where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skeinlake-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -69,7 +69,7 @@ def html_title(capture: dict) -> str | None:
     if "html" not in (capture["content_type"] or ""):
         return None
     m = re.search(rb"<title[^>]*>(.*?)</title>", capture["entity"], re.IGNORECASE | re.DOTALL)
-    return html.unescape(" ".join(m[1].decode("utf-8", "replace").split())) or None if m else None
+    return html.unescape(re.sub(r"[ \t\n\f\r]+", " ", m[1].decode("utf-8", "replace")).strip(" ")) or None if m else None  # white space as HTML has it
 
 
 @dataclass
