@@ -475,3 +475,25 @@ def test_sentences_cover_all_text(spark):
         assert "".join("".join(t[a:b] for a, b in spans).split()) == "".join((t or "").split())
         assert all(not t[a].isspace() and not t[b - 1].isspace() for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
     assert sentences(docs.limit(0)).count() == 0
+
+
+def test_residue_by_public_exemplars_on_held_out_text(spark):
+    """Messages that are in no list of exemplars word for word, and texts that write about such things."""
+    from skeinlake.llm.residue import EXEMPLARS, PASSAGES, Exemplars
+
+    residue = [
+        "404 Not Found\nnginx", "Error 503 Service Unavailable\nVarnish cache server", "HTTP Status 500 – Internal Server Error", "The requested URL /a/b.html was not found on this server. Apache Server at kalo.example Port 80",
+        "You do not have permission to access /admin on this server", "Warning: include(header.php): failed to open stream: No such file or directory in /srv/www/index.php on line 12", "You need to enable JavaScript to run this app.",
+        "Please enable JavaScript to view the comments.", "Dolor sit amet lorem, consectetur ipsum adipiscing sed elit tempor.", "Ut enim minim veniam quis nostrud exercitation laboris nisi aliquip", "Welcome, {{ user.name }}!", "Dear ${customer}, thank you",
+        "Total: <%= order.total %>", "Seite nicht gefunden | Kalo", "Página no encontrada", "Страница не найдена", "Bitte aktivieren Sie JavaScript, um den Inhalt zu nutzen.", "Kalo Shop: Content coming soon.",
+    ]
+    content = [
+        "The clerk explained that a page not found on the first day was found again later, and that the requested papers were on this table.", "Our lesson shows how the server answers when nothing is there, with a number and a short text.",
+        "In HTML the script element can be left out; readers without scripts still get the text of our page.", "The typesetter prefers a Latin passage of no meaning for samples of type.", "Access to the reading room was denied to nobody.",
+        "Prices rose by 503 units while the service was open.", "Write `{{ name }}` where the name should go.", "A short walk along the harbour and back to the archive.", "Der Dienst war am Montag nicht erreichbar, die Seite fehlte im Band.",
+        "Under the new roof construction began in May.", "The index of prices is kept by the office.", "Set $HOME before you run it.",
+    ]
+    rows = [(i, "u", None, t) for i, t in enumerate(residue + content)] + [(1000 + i, "u", None, prose(random.Random(i), 60)) for i in range(200)]
+    found = {r["id"] for r in residue_fields(pages_of(spark, rows), exemplars=Exemplars((EXEMPLARS,), PASSAGES)).collect()}
+    assert len([i for i in found if i < len(residue)]) >= 0.9 * len(residue)
+    assert len([i for i in found if i >= len(residue)]) <= 1
