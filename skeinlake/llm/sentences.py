@@ -123,7 +123,7 @@ class SpanModel:
             got = math.log((end + PRIOR * start) / (on + PRIOR * (1 - start)))
             # a word that ends units also ends paragraphs; one that is often before a capital and never there is short for something
             want = 0.1 * (mid + end)
-            if end < 0.2 * want:
+            if want > 3 and end < 0.2 * want:
                 got -= min(5.0, want - end)
             got = self.known_close[word] = min(max(got, -5.0), 4.0)
             if len(self.known_close) > 1 << 16:
@@ -250,7 +250,7 @@ def _cut(text: str, m: re.Match, stop: int, hi: int, model: SpanModel) -> float
     if mark[0] in STRONG or any(c in STRONG for c in mark):
         if closed and (not gap and nxt in PARTICLE or SAID.match(text, opener.start(1), hi)):
             return None
-        return 6.0 if not closed and not nxt.islower() else 4.0 + model.opening(word)
+        return 4.0 + model.opening(word) if nxt.islower() else 6.0 if not closed else 4.0 + max(model.opening(word), -2.0)
     core = mark.rstrip(CLOSERS + "   ")
     before = text[at - 1 : at]
     if not gap and not closed:
@@ -266,18 +266,20 @@ def _cut(text: str, m: re.Match, stop: int, hi: int, model: SpanModel) -> float
         return 1.0 if nxt.isupper() and core else None
     opens = model.opening(word)
     cased = nxt.isupper() or nxt.islower()
+    if nxt.isupper():  # names stand inside units more often than they open one, but they do open some
+        opens = max(opens, -1.0)
     if closed:
         return 2.5 + opens
     if core.startswith(("…", "..")):
-        return 6.0 if before >= "⺀" and not nxt.islower() else 1.5 + opens
+        return 6.0 if before >= "⺀" and not nxt.islower() else (2.5 if nxt.isupper() else 1.5) + opens
     if core[:1] in "!?;" or core[-1:] in "!?":
-        return 4.0 + max(opens, -2.0) if nxt.isupper() else 3.0 + opens if cased or not nxt.isalnum() else 7.0
+        return 5.0 + opens if nxt.isupper() else 3.0 + opens if cased or not nxt.isalnum() else 7.0
     last = _word_before(text, at)
     if last.isdigit() and len(last) < 3 and word.lower() in ORDINAL_NEXT:
         return None
     closes = model.closing(last)
     if nxt.isupper() and model.may_end(last):
-        closes = max(closes, 1.0)
+        closes = max(closes, 2.0)
     # behind a word that is short for nothing, what is all in small letters or without case opens as well
     return closes + (max(opens, -2.0) if cased or nxt.isalpha() else opens)
 
