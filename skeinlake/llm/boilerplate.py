@@ -1,6 +1,6 @@
 """Main body and boilerplate of web pages by wrapper induction (problem 7).
 
-A page is a tree: its lines are the nodes below the root, the parts of a menu line the nodes below
+Hosts go by a 64-bit hash. A page is a tree: its lines are the nodes below the root, the parts of a menu line the nodes below
 that. Trees of pages of the same host are aligned in pairs by simple tree matching; nodes that
 match are constant and become the host's template, nodes that vary are content, except in the
 slots of a template's link lists. What is constant on many hosts needs no pages of its own host.
@@ -22,9 +22,10 @@ from skeinlake.llm.garble import STARTS, SUSPECT, plain_restore
 from skeinlake.session import cut_lineage
 
 PARTS = re.compile(r"\s+[·|/>»›•]\s+|\s*[|｜]\s*")
+SEPARATOR = re.compile(r"[·|/>»›•｜]")
 DIGITS = re.compile(r"\d+")
 HOLDER = re.compile(r"(©|\(c\)|copyright)\s*0\s+[^\s.,]+")
-TREE = "page_id long, host string, line_nos array<int>, sigs array<long>, skeletons array<long>, kinds array<int>, parts array<array<long>>, lens array<int>"
+TREE = "page_id long, host long, line_nos array<int>, sigs array<long>, skeletons array<long>, kinds array<int>, parts array<array<long>>, lens array<int>"
 TITLE, SENTENCE, CRUMB, LONG = 1, 2, 4, 8
 NAME = re.compile(r"[A-Z][a-z'’]{2,}")
 PLAIN = re.compile(r"[^\W\dA-Z_][^\W\d_]+|[぀-ヿ㐀-鿿]{2}")
@@ -79,7 +80,7 @@ def page_tree(text: str, site: str) -> tuple[list[int], list[int], list[int], li
             continue
         kind = line_kind(line)
         own: list[int] = []
-        if not kind & LONG or line.count(" · ") + line.count(" | ") + line.count(" / ") > 3:
+        if SEPARATOR.search(line) and (not kind & LONG or line.count(" · ") + line.count(" | ") + line.count(" / ") > 3):
             pieces = PARTS.split(line)
             if len(pieces) > 1:
                 own = [_hash(signature(p, site)) for p in pieces]
@@ -132,7 +133,7 @@ def _trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for i, host, text in zip(pdf["page_id"], pdf["host"], pdf["text"], strict=True):
             labels = (host or "").split(".")
-            rows.append((i, host, *page_tree(text, labels[-2] if len(labels) > 1 else "")))
+            rows.append((i, _hash(host or ""), *page_tree(text, labels[-2] if len(labels) > 1 else "")))
         yield pd.DataFrame(rows, columns=["page_id", "host", "line_nos", "sigs", "skeletons", "kinds", "parts", "lens"])
 
 
@@ -192,7 +193,7 @@ def copy_classes(trees: DataFrame) -> DataFrame:
     weight = F.least(F.lit(1.0), 1 - F.col("on") / F.col("n") + 1 / F.col("on"))
     links = shared.groupBy("host", "page_id", "row", "whole", "first").agg(F.sum(F.col("len") * weight).alias("same"))
     links = links.where(F.col("same") >= COPIED * F.least("whole", "first.whole")).select("host", "page_id", F.col("first.page_id").alias("first"))
-    return links.groupBy("host").applyInPandas(_components, "host string, page_id long, class long")
+    return links.groupBy("host").applyInPandas(_components, "host long, page_id long, class long")
 
 
 def host_templates(trees: DataFrame, classes: DataFrame) -> DataFrame:
@@ -206,7 +207,7 @@ def host_templates(trees: DataFrame, classes: DataFrame) -> DataFrame:
     order = F.xxhash64("page_id", F.lit(17))
     trees = trees.join(sizes, "host").join(classes, ["host", "page_id"], "left").withColumn("class", F.coalesce("class", "page_id"))
     chunked = trees.select("host", F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n") / CHUNK_PAGES)).alias("chunk"), order.alias("order"), "class", "sigs", "parts")
-    met = chunked.groupBy("host", "chunk").applyInPandas(_align, "host string, sig long, met long, matched long").groupBy("host", "sig").agg(F.sum("met").alias("met"), F.sum("matched").alias("matched"))
+    met = chunked.groupBy("host", "chunk").applyInPandas(_align, "host long, sig long, met long, matched long").groupBy("host", "sig").agg(F.sum("met").alias("met"), F.sum("matched").alias("matched"))
     disordered = met.where(2 * F.col("matched") < F.col("met")).select("host", "sig")
     lines = trees.select("host", "class", F.explode(F.arrays_zip("sigs", "kinds")).alias("z")).select("host", "class", F.col("z.sigs").alias("sig"), (F.col("z.kinds").bitwiseAND(SENTENCE) > 0).alias("reads"))
     menus = trees.select("host", "class", "page_id", F.explode(F.filter(F.arrays_zip("sigs", "parts"), lambda z: F.size(z["parts"]) > 2)).alias("z")).select("host", "class", "page_id", F.col("z.sigs").alias("line"), F.col("z.parts").alias("p"))
