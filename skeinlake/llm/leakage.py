@@ -28,6 +28,7 @@ EVIDENCE = 10.0  # bits above log2 of the number of documents, so that chance br
 SEED_ROWS = 2_000_000  # runs of items that a pass over the corpus looks for; more make more passes
 LOST = -0.6  # what a wrong or missing word of the item costs, as a share of its weight
 ADDED = -2.0  # bits for a word that only the document has
+SHIFT = 1 << 32
 IDENTITY = 0.6  # least score of an alignment as a share of what an exact copy of the same words has
 WORD = re.compile(r"[^\W_]+")
 
@@ -80,34 +81,40 @@ def align(item: list[str], doc: list[str], weight: dict[str, float] | None = Non
     total = np.concatenate([[0.0], np.cumsum(w)])
     places = np.arange(len(y) + 1)
     slope = -ADDED * places
-    row, start, hits = np.zeros(len(y) + 1), np.zeros(len(y) + 1, np.int64), np.zeros(len(y) + 1, np.int64)
+    # where each path began and how many words match on it, in one number: began * SHIFT + matches
+    row, path = np.zeros(len(y) + 1), np.zeros(len(y) + 1, np.int64)
     best, longest, stretch = (0.0, 0, 0.0), 0, np.zeros(len(y), np.int64)
     for i, x in enumerate(item):
         same = y == ids[x]
-        stretch = np.where(same, np.r_[0, stretch[:-1]] + 1, 0)
-        exact = int(stretch.max())
-        longest = max(longest, exact)
-        if exact >= LEAK and (value := float(total[i + 1] - total[i + 1 - exact])) > best[0]:
-            best = value, exact, 1.0
-        diagonal = row[:-1] + np.where(same, w[i], LOST * w[i])
-        new, began, got = np.zeros_like(row), np.full(len(row), i + 1), np.zeros_like(hits)
-        skipped = row + LOST * w[i]
-        keep = skipped > 0
-        new[keep], began[keep], got[keep] = skipped[keep], start[keep], hits[keep]
-        better = diagonal > new[1:]
-        new[1:][better] = diagonal[better]
-        began[1:][better] = np.where(row[:-1] > 0, start[:-1], i)[better]
-        got[1:][better] = (np.where(row[:-1] > 0, hits[:-1], 0) + same)[better]
-        shifted = new + slope
+        alive = row.any()
+        if not same.any():
+            stretch[:] = 0
+            if not alive:
+                continue
+        else:
+            stretch[1:] = np.where(same[1:], stretch[:-1] + 1, 0)
+            stretch[0] = same[0]
+            exact = int(stretch.max())
+            longest = max(longest, exact)
+            if exact >= LEAK and (value := float(total[i + 1] - total[i + 1 - exact])) > best[0]:
+                best = value, exact, 1.0
+        diagonal, above = row[:-1] + np.where(same, w[i], LOST * w[i]), row + LOST * w[i]
+        step = (np.where(row[:-1] > 0, path[:-1], i * SHIFT) if alive else i * SHIFT) + same
+        new, came = above, path.copy()
+        better = diagonal >= above[1:]
+        np.copyto(new[1:], diagonal, where=better)
+        np.copyto(came[1:], step, where=better)
+        shifted = np.maximum(new, 0.0, out=new) + slope
         top = np.maximum.accumulate(shifted)
         source = np.maximum.accumulate(np.where(shifted == top, places, 0))  # gaps along the row
-        row, start, hits = top - slope, began[source], got[source]
-        full = np.maximum(total[i + 1] - total[np.minimum(start, i)], 1e-9)
-        fit = np.flatnonzero((hits >= LEAK) & (row >= IDENTITY * full))
+        row, path = top - slope, came[source]
+        fit = np.flatnonzero(path % SHIFT >= LEAK)
         if len(fit):
-            at = fit[np.argmax(row[fit])]
-            if row[at] > best[0]:
-                best = float(row[at]), int(hits[at]), float(row[at] / full[at])
+            full = np.maximum(total[i + 1] - total[path[fit] // SHIFT], 1e-9)
+            share = row[fit] / full
+            k = int(np.argmax(np.where(share >= IDENTITY, row[fit], -1.0)))
+            if share[k] >= IDENTITY and row[fit[k]] > best[0]:
+                best = float(row[fit[k]]), int(path[fit[k]] % SHIFT), float(share[k])
     return longest, *best
 
 
