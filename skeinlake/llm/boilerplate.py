@@ -18,12 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinlake.llm.garble import STARTS, SUSPECT, plain_restore
+from skeinlake.llm.garble import STARTS, plain_restore, suspect
 from skeinlake.session import cut_lineage
 
 PARTS = re.compile(r"\s+[·|/>»›•]\s+|\s*[|｜]\s*")
 SEPARATOR = re.compile(r"[·|/>»›•｜]")
-DIGITS = re.compile(r"\d+")
+DIGITS = re.compile(r"\d\d*")  # as \d+, but searched for as a single character
 HOLDER = re.compile(r"(©|\(c\)|copyright)\s*0\s+[^\s.,]+")
 TREE = "page_id long, host long, line_nos array<int>, sigs array<long>, skeletons array<long>, kinds array<int>, parts array<array<long>>, lens array<int>"
 TITLE, SENTENCE, CRUMB, LONG = 1, 2, 4, 8
@@ -39,9 +39,8 @@ COPIED = 0.2  # share of a page's text that makes it a copy of another
 MODEL_ROWS = 2_000_000  # rows of 16 bytes that may be broadcast
 
 
-def signature(line: str, site: str) -> str:
-    """A line without what differs between pages of one template: case, numbers, the site's name, the holder of rights."""
-    s = DIGITS.sub("0", line.casefold())
+def signature(s: str, site: str) -> str:
+    """A line, given without case and numbers, without what else differs between pages of one template: the site's name, the holder of rights."""
     if len(site) > 3:
         s = s.replace(site, "*")
     return HOLDER.sub(r"\1 0 *", s) if "©" in s or "(c)" in s or "copyright" in s else s
@@ -51,13 +50,12 @@ def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s) - (1 << 63)
 
 
-def skeleton(line: str) -> str | None:
-    """A line without its names and numbers, but with its first word where little else is left; None where nothing is."""
-    s = DIGITS.sub("0", NAME.sub("*", line))
+def skeleton(line: str, s: str) -> str | None:
+    """A line, given also without its names and numbers, in that form, but with its first word where little else is left; None where nothing is."""
     if (one := PLAIN.search(s)) and PLAIN.search(s, one.end()):
         return s
-    head, _, rest = line.partition(" ")
-    s = head + " " + DIGITS.sub("0", NAME.sub("*", rest))
+    head, rest = line.partition(" ")[0], s.partition(" ")[2]
+    s = head + " " + rest
     return s if rest and (PLAIN.search(s[len(head) :]) or " | " in s or " · " in s) else None
 
 
@@ -69,26 +67,28 @@ def line_kind(line: str) -> int:
 
 def page_tree(text: str, site: str) -> tuple[list[int], list[int], list[int], list[int], list[list[int]], list[int]]:
     """(line numbers, signatures, skeletons, kinds, parts, lengths) of the non-empty lines; the length is 0 where a signature is repeated."""
-    if not text.isascii() and STARTS.search(text) and SUSPECT.search(text):
+    if not text.isascii() and STARTS.search(text) and suspect(text):
         fixed = plain_restore(text)
         if fixed is not None and fixed.count("\n") == text.count("\n"):
             text = fixed
     nos, sigs, skeletons, kinds, parts, lens, met = [], [], [], [], [], [], set()
-    for n, line in enumerate(text.split("\n"), 1):
+    # names and numbers don't cross lines, so the whole text is rid of them at once; none of it makes or takes a blank
+    plain = DIGITS.sub("0", text)
+    for n, (line, folded, bare) in enumerate(zip(text.split("\n"), plain.casefold().split("\n"), NAME.sub("*", plain).split("\n"), strict=True), 1):
         line = line.strip()
         if not line:
             continue
+        folded, bare = folded.strip(), skeleton(line, bare.strip())
         kind = line_kind(line)
         own: list[int] = []
         if SEPARATOR.search(line) and (not kind & LONG or line.count(" · ") + line.count(" | ") + line.count(" / ") > 3):
-            pieces = PARTS.split(line)
+            pieces = PARTS.split(folded)
             if len(pieces) > 1:
                 own = [_hash(signature(p, site)) for p in pieces]
                 if len(pieces) == 2:
                     kind |= CRUMB
         nos.append(n)
-        sigs.append(_hash(signature(line, site)))
-        bare = skeleton(line)
+        sigs.append(_hash(signature(folded, site)))
         skeletons.append(0 if bare is None else _hash(bare))
         kinds.append(kind)
         parts.append(own)

@@ -58,10 +58,17 @@ SUSPECT = re.compile(
     "|".join(_sequence(e) for e in ("cp1252", "latin_1", "cp1251", "cp437", "cp850")) + "|" + _sequence("mac_roman", "[¬√ƒ‚„‰ÂÊÁËÈ]")
     + "|[\x80-\x9f\ufffd]|[\xa1-\xff]{4}|[‚ƒˆŠ‹ŒŽ][\xa1-\xff‚ƒ„…†‡ˆ‰Š‹ŒŽ‘-•—˜™š›œ]|[а-я][А-Я]{2}|Ј"
 )
+#: Where all of a match of SUSPECT lies.
+HIGH = re.compile(r"[^\x00-\x7f][^\x00-\x7f]*")
 #: Non-ASCII characters and up to two ASCII ones between them: blanks between words, trail bytes of East Asian encodings.
 RUN = re.compile(r"[^\x00-\x7f]+(?:[ -~]{1,2}(?=[^\x00-\x7f])[^\x00-\x7f]+)*")
 
 
+def suspect(text: str) -> bool:
+    """Does SUSPECT match? Few characters of most texts need its many alternatives."""
+    return SUSPECT.search(" ".join(HIGH.findall(text))) is not None
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
@@ -336,9 +343,10 @@ for _k, _e in enumerate(PLAIN):
         for _of, _lo, _hi in ((_LEADS, 0xC2, 0xF4), (_TAILS, 0x80, 0xBF)):
             if _lo <= _b <= _hi:
                 _of[chr(_c)] = _of.get(chr(_c), 0) | 1 << _k
-STARTS = re.compile("[" + re.escape("".join(_LEADS)) + "][" + re.escape("".join(_TAILS)) + "]")
-#: Non-ASCII runs that may be UTF-8 under some reading.
-_LONG = re.compile(r"(?<![^\x00-\x7f])" + STARTS.pattern + r"[^\x00-\x7f]*")
+_LEAD, _TAIL = ("[" + re.escape("".join(x)) + "]" for x in (_LEADS, _TAILS))
+STARTS = re.compile(_LEAD + _TAIL)
+#: Non-ASCII runs that may be UTF-8 under some reading; the look behind the first character comes after it, which is found faster.
+_LONG = re.compile(_LEAD + r"(?<![^\x00-\x7f]{2})" + _TAIL + r"[^\x00-\x7f]*")
 
 
 def plain_restore(text: str) -> str | None:
@@ -362,7 +370,7 @@ def plain_restore(text: str) -> str | None:
         return run
 
     out = _LONG.sub(fix, text)
-    if changed and SUSPECT.search(out):  # decoded wrongly twice
+    if changed and suspect(out):  # decoded wrongly twice
         return _LONG.sub(fix, out)
     return out if changed else None
 

@@ -97,6 +97,36 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+class Finder:
+    """The words of ``vocabulary`` in texts. Words never cross blanks, and stretches between blanks recur, so what they hold is
+    kept for up to KEPT of them, none longer than LONGEST."""
+
+    KEPT, LONGEST = 1 << 17, 40
+
+    def __init__(self, vocabulary: frozenset[str]):
+        self.vocabulary = vocabulary
+        self.some: dict[str, frozenset[str]] = {}
+        self.none: set[str] = set()
+
+    def __call__(self, text: str) -> set[str]:
+        left = set(text.split()).difference(self.none)
+        new = left.difference(self.some)
+        found = set().union(*map(self.some.__getitem__, left - new if new else left))
+        if new:
+            here = self.vocabulary.intersection(words(" ".join(new)))
+            found |= here
+            kept = [x for x in new if len(x) <= self.LONGEST]
+            if len(self.some) + len(self.none) + len(kept) > self.KEPT:
+                self.some.clear()
+                self.none.clear()
+            for x in kept if len(kept) <= self.KEPT else ():
+                if here and (own := here.intersection(words(x))):
+                    self.some[x] = own
+                else:
+                    self.none.add(x)
+        return found
+
+
 class Exemplars:
     """Labelled exemplars and filler passages with the words that the index holds."""
 
@@ -122,11 +152,13 @@ class Retriever:
 
     def __init__(self, df: dict[str, int], n: int, exemplars: Exemplars = DEFAULT, contained: float = 0.85, covered: float = 0.8):
         self.vocabulary, self.passages = exemplars.vocabulary, exemplars.passages
+        self.found = Finder(self.vocabulary)
         self.weight = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 0.2 for w in self.vocabulary}
         self.unknown = math.log(n + 1) * 0.5 + 0.2  # a word outside the exemplars
         self.contained, self.covered = contained, covered
         self.exemplars = exemplars.rows
         self.total = [sum(self.weight[w] * k for w, k in c.items()) for _, c, _ in self.exemplars]
+        self.width = [sum(c.values()) + (slots + 1 if slots else 0) for _, c, slots in self.exemplars]  # words of a window
         # the rarest words of each exemplar that weigh more than may be missing; a passage must have one of them
         self.index: dict[str, list[int]] = defaultdict(list)
         self.rare: list[list[str]] = [[] for _ in self.exemplars]
@@ -138,10 +170,11 @@ class Retriever:
                 left -= self.weight[w] * c[w]
                 if left < 0:
                     break
+        self.entries = frozenset(self.index)
 
     def candidates(self, found: set[str]) -> list[int]:
         """Exemplars that a passage made of the words ``found`` can hold."""
-        near = {i for w in found.intersection(self.index) for i in self.index[w]}
+        near = {i for w in found & self.entries for i in self.index[w]}
         return sorted(i for i in near if sum(self.weight[w] * k for w, k in self.exemplars[i][1].items() if w in found) >= self.contained * self.total[i])
 
     def accepts(self, i: int, got: Counter) -> bool:
@@ -171,11 +204,16 @@ class Retriever:
         between quotation marks is a mention.
         """
         text = SLOT.sub(" ", text)
-        spans = [(m.start(), m.end(), w) for m in WORD.finditer(text) if not (w := m[0].lower()).isdigit() or w in self.vocabulary]
-        tokens = [w for _, _, w in spans]
+        tokens = [w for x in WORD.findall(text) if not (w := x.lower()).isdigit() or w in self.vocabulary]
+        wanted = {w for i in among for w in self.exemplars[i][1]}
         places: dict[str, list[int]] = defaultdict(list)
         for k, w in enumerate(tokens):
-            places[w].append(k)
+            if w in wanted:
+                places[w].append(k)
+        near = {i: at for i in among if (at := self._near(i, tokens, places))}
+        if not near:
+            return None
+        spans = [(m.start(), m.end()) for m in WORD.finditer(text) if not (w := m[0].lower()).isdigit() or w in self.vocabulary]
         edges: dict[int, bool] = {}
         quoted = [m.span() for m in QUOTED.finditer(text)]
         starts = [a for a, _ in quoted]
@@ -186,17 +224,11 @@ class Retriever:
                 edges[k] = k in (0, len(spans)) or BOUND.search(text, spans[k - 1][1], spans[k][0]) is not None
             return edges[k]
 
-        for i in among:
-            label, want, slots = self.exemplars[i]
-            width = sum(want.values()) + (slots + 1 if slots else 0)
+        for i, starting in near.items():
+            label, want, _ = self.exemplars[i]
+            width = self.width[i]
             short = sum(k if w < "\u3040" else 0.5 * k for w, k in want.items()) < FREE_WORDS
-            anchors = sorted(k for w in self.rare[i] for k in places.get(w, ()))  # a window must have one of them
-            if not anchors:
-                continue
-            for at in sorted(k for w in want for k in places.get(w, ())):
-                a = bisect_left(anchors, at)
-                if a == len(anchors) or anchors[a] >= at + width:
-                    continue
+            for at in starting:
                 q = bisect_right(starts, spans[at][0]) - 1
                 if (q >= 0 and spans[at][0] < quoted[q][1]) or (short and not edge(at)):
                     continue
@@ -211,6 +243,19 @@ class Retriever:
                     return label
         return None
 
+    def _near(self, i: int, tokens: list[str], places: dict[str, list[int]]) -> list[int]:
+        """Where windows begin whose words can hold exemplar ``i``; ``places`` has those of its words in ``tokens``."""
+        want, width = self.exemplars[i][1], self.width[i]
+        anchors = sorted(k for w in self.rare[i] for k in places.get(w, ()))  # a window must have one of them
+        out = []
+        for at in sorted(k for w in want for k in places.get(w, ())) if anchors else ():
+            a = bisect_left(anchors, at)
+            if a < len(anchors) and anchors[a] < at + width:
+                here = set(tokens[at : at + width])
+                if sum(self.weight[w] * k for w, k in want.items() if w in here) >= self.contained * self.total[i] - 1e-9:
+                    out.append(at)
+        return out
+
     def filler(self, text: str) -> bool:
         """Does a filler passage cover some window of ``text``, by the weight of its words?"""
         found = words(text)
@@ -250,15 +295,14 @@ class Retriever:
         """Label of a whole field, by its passages; None where it is content."""
         if MARKS.search(text) and self.placeholder(text):
             return "placeholder"
-        found = set(words(text))
+        found = self.found(text)
         if among := self.candidates(found):
-            for line in text.split("\n"):
-                line = line.strip()
-                here = self.candidates(set(words(line))) if line else []
-                if here and (label := self.passage(line, here)):
+            lines = [(line, here) for line in text.split("\n") if (here := self.candidates(self.found(line)))]
+            for line, here in lines:
+                if label := self.passage(line, here):
                     return label
-            for line in text.split("\n"):
-                if len(line) > 60 and (here := self.candidates(set(words(line)))):
+            for line, here in lines:
+                if len(line) > 60:
                     for x in SENTENCE.split(line):
                         if len(x) > 12 and len(WORD.findall(x)) >= 5 and (label := self.passage(x, here)) and label != "filler":
                             return label
@@ -281,11 +325,12 @@ def document_frequencies(fields: DataFrame, vocabulary: frozenset[str] = DEFAULT
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df: Counter = Counter()
+        found = Finder(vocabulary)
         for pdf in batches:
             for c in pdf.columns:
                 for t in pdf[c]:
                     if t:
-                        df.update(vocabulary.intersection(words(t)))
+                        df.update(found(t))
                         df[""] += 1
         yield pd.DataFrame({"word": list(df), "n": list(df.values())})
 

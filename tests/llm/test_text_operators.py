@@ -1,6 +1,7 @@
 """Text operators against brute force, round trips and awkward input."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -168,6 +169,13 @@ def test_segments_and_plain_restore():
     assert plain_restore("cafÃ© ok") == "café ok" and plain_restore("café") is None
     assert plain_restore("é".encode().decode("cp1252").encode().decode("cp1252")) == "é"
 
+def test_few_characters_tell_what_is_suspect():
+    from skeinlake.llm import garble
+
+    texts = list(odd_texts(random.Random(30), 400)) + ["", "a", "é", "aЈa", "дД", "дДД", "Â ", "Ã a©", "Ã©"]
+    hits = [garble.SUSPECT.search(t) is not None for t in texts]
+    assert [garble.suspect(t) for t in texts] == hits and 20 < sum(hits) < len(hits) - 20
+
 def test_garbled_fields_do_not_vouch_for_themselves(spark):
     rows = [(i * 100 + k, "u", None, t) for k in range(60) for i, t in enumerate(CLEAN)]
     bad = {70000: "общий журнал".encode().decode("koi8_r"), 70001: "Там же".encode("cp1251").decode("cp1252")}
@@ -213,6 +221,38 @@ def test_garbled_residue_in_long_fields(spark):
     rows = [(i, "u", None, f"{prose(rng, 90)}.\n{x}\n{prose(rng, 90)}.") for i, x in enumerate(bad)] + [(100 + i, "u", None, prose(rng, 180) + " cafÃ©") for i in range(50)]
     assert {r["id"] for r in residue_fields(pages_of(spark, rows)).collect()} == {0, 1}
 
+def odd_texts(rng, n):
+    """Texts with blanks, digits, scripts and letters that change length or form with their case, whole or garbled."""
+    odd = " \t\x1c\x85\u3000.-_/|·»©ΣςİßŉÅ²٣0123'’é„“中ア가\u0307\u200bЈ\x81\ufffd"
+    for _ in range(n):
+        x = list(f"{prose(rng, 20)} Not Found\nKalo Page 404 · 12 Index of it · The end\n\n© 2024 Kalo. Text here 7x7")
+        for _ in range(rng.randrange(30)):
+            x.insert(rng.randrange(len(x) + 1), rng.choice(odd))
+        x = "".join(x)
+        yield rng.choice((x, x, x.upper(), x.encode().decode("cp1252", "replace"), x.encode().decode("latin_1")))
+
+def test_recurring_stretches_are_read_once(monkeypatch):
+    from skeinlake.llm import residue
+
+    rng = random.Random(27)
+    texts = [f"{prose(rng, 200)} We access it." for _ in range(200)]
+    read, words = [], residue.words
+    monkeypatch.setattr(residue, "words", lambda t: read.append(len(t)) or words(t))
+    judge = residue.Retriever({}, 1000)
+    assert all(judge.label(t) is None for t in texts) and judge.label(texts[0] + "\nAccess denied.") == "error"
+    assert sum(read) < 0.2 * sum(map(len, texts))
+
+def test_words_of_a_vocabulary_by_stretches():
+    from skeinlake.llm import residue
+
+    rng = random.Random(28)
+    vocabulary = residue.DEFAULT.vocabulary | {"σς", "kalo", "中", "é"}
+    for kept, longest in ((1 << 17, 40), (50, 40), (3, 5), (0, 0)):
+        finder = residue.Finder(vocabulary)
+        finder.KEPT, finder.LONGEST = kept, longest
+        for t in odd_texts(rng, 150):
+            assert finder(t) == vocabulary.intersection(residue.words(t)) and len(finder.some) + len(finder.none) <= kept
+
 
 # --- boilerplate -------------------------------------------------------------------------------------------------------------
 
@@ -230,6 +270,45 @@ def test_tree_matching_is_the_longest_common_order():
     assert simple_tree_matching([(1, [(2, []), (3, [])])], [(1, [(3, [])])])[0] == 2
 
 
+def test_names_and_numbers_leave_a_page_at_once(monkeypatch):
+    from skeinlake.llm import boilerplate as b
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.calls = pattern, 0
+
+        def sub(self, *a):
+            self.calls += 1
+            return self.pattern.sub(*a)
+
+    digits, name = Counted(b.DIGITS), Counted(b.NAME)
+    monkeypatch.setattr(b, "DIGITS", digits)
+    monkeypatch.setattr(b, "NAME", name)
+    rng = random.Random(29)
+    texts = [t for t in odd_texts(rng, 300) if not b.plain_restore(t)] + ["", "\n \n", "7", "A · B\nKalo 7", "12 Kalo"]
+
+    def folded(s, site):
+        s = re.sub(r"\d+", "0", s.casefold())
+        s = s.replace(site, "*") if len(site) > 3 else s
+        return b.HOLDER.sub(r"\1 0 *", s) if "©" in s or "(c)" in s or "copyright" in s else s
+
+    def bare(line):
+        s = re.sub(r"\d+", "0", b.NAME.pattern.sub("*", line))
+        if (one := b.PLAIN.search(s)) and b.PLAIN.search(s, one.end()):
+            return b._hash(s)
+        head, _, rest = line.partition(" ")
+        s = head + " " + re.sub(r"\d+", "0", b.NAME.pattern.sub("*", rest))
+        return b._hash(s) if rest and (b.PLAIN.search(s[len(head) :]) or " | " in s or " · " in s) else 0
+
+    for t in texts:
+        site = rng.choice(("", "kalo", " the", "kalo\npage", "found"))
+        nos, sigs, skeletons, _, parts, lens = b.page_tree(t, site)
+        lines = [(n, x.strip()) for n, x in enumerate(t.split("\n"), 1) if x.strip()]
+        assert nos == [n for n, _ in lines] and sigs == [b._hash(folded(x, site)) for _, x in lines] and skeletons == [bare(x) for _, x in lines]
+        assert all(p == [b._hash(folded(y, site)) for y in b.PARTS.split(x)] for p, (_, x) in zip(parts, lines, strict=True) if p)
+        assert all(n in (0, len(x)) for n, (_, x) in zip(lens, lines, strict=True))
+    assert digits.calls <= len(texts) and name.calls <= len(texts)
+
 def test_boilerplate(spark):
     rng = random.Random(7)
     rows, want = [], set()
